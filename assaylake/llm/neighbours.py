@@ -123,7 +123,7 @@ def _search_list(k: int):
         stored, searched = pdf["stored"].to_numpy(), np.flatnonzero(pdf["searched"].to_numpy())
         members, own = x[stored], ids[stored]
         if not len(members) or not len(searched):
-            return pd.DataFrame({"vid": [], "found": [], "dist": []})
+            return pd.DataFrame(columns=["vid", "found", "dist"], dtype=object)
         width = min(k + 6, len(members))
         out_ids, out_d = [], []
         step = max(1, _BLOCK // len(members))
