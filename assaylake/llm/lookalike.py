@@ -7,8 +7,12 @@ import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from assaylake.plans.scratch import Scratch
 
 COLLATION = "UNICODE"  # tertiary strength: accents and case count, ignorable characters don't
 
@@ -21,7 +25,7 @@ LOOK_ALIKES = {
 }
 # Hyphens drawn like the ASCII one, and invisible characters that aren't format characters.
 HYPHENS = "‐‑﹣－"
-UNSEEN = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ" + "".join(map(chr, range(0xFE00, 0xFE10))) + "".join(map(chr, range(0xE0100, 0xE01F0)))
+UNSEEN = "".join(chr(c) for c in range(0x80, 0xA0) if c != 0x85) + "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ" + "".join(map(chr, range(0xFE00, 0xFE10))) + "".join(map(chr, range(0xE0100, 0xE01F0)))
 #: ASCII control characters differ from each other and from nothing, but the collation ignores them.
 _CONTROLS = [c for c in [*range(0x20), 0x7F] if chr(c) not in "\t\n\v\f\r"]
 
@@ -71,8 +75,8 @@ def _char_class(chars: Iterable[str]) -> str:
 def look_alike(text: Column) -> Column:
     """The text with every character replaced by what it looks like; JVM expressions only.
 
-    Accents stay as they are written, composed or not: the collation takes care
-    of them. ASCII is left alone, except that control characters are moved to
+    Accents stay as they are written, composed or not: :func:`composed` and the
+    collation take care of them. ASCII is left alone, except that control characters are moved to
     private-use ones, which the collation doesn't ignore. Texts of ASCII alone
     take no work, and characters that become several are looked for only in texts
     that have any.
@@ -89,8 +93,14 @@ def look_alike(text: Column) -> Column:
     return F.when(plain, text).otherwise(F.translate(widened, "".join(single) + gone, "".join(single.values())))
 
 
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Accents in one order and joined to their letters; the collation takes them as they stand otherwise."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+
 def _mapped(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_look", look_alike(F.col("_text")))
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_look", composed(look_alike(F.col("_text"))))
 
 
 def _not_blank(text: Column) -> Column:
@@ -121,19 +131,63 @@ def canonical_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return joined.select(F.col("_key").alias(key), F.xxhash64("canonical").alias("_h"), "canonical").select(key, F.when(F.col("canonical").isNotNull(), F.col("_h")).alias("class_id"), "canonical")
 
 
+@lru_cache(maxsize=1)
+def coarse_map() -> dict[str, str]:
+    """Character -> what is left of it without accents: equal for all texts that look the same, and for some others."""
+    look, out, dropped = look_alike_map(), {}, set()
+    mark = lambda c: unicodedata.category(c)[0] == "M"
+    for code in range(0x80, sys.maxunicode + 1):
+        c = chr(code)
+        if unicodedata.category(c) in ("Cn", "Co", "Cs") and c not in look:
+            continue
+        parts = [p for x in unicodedata.normalize("NFD", c) for p in unicodedata.normalize("NFD", look.get(x, x)) if not mark(p)]
+        ligature = c in look and unicodedata.decomposition(c).startswith("<compat>")
+        if not ligature:
+            dropped.update(parts[1:])  # the later parts of a syllable
+        if parts != [c]:
+            out[c] = "".join(parts) if ligature else "".join(parts[:1])
+    return out | dict.fromkeys(dropped, "")
+
+
+def coarse_signature(text: Column) -> Column:
+    """A hash that texts which look the same share; it only serves to leave out texts that are alone."""
+    mapping = coarse_map()
+    several = {c: t for c, t in mapping.items() if len(t) > 1}
+    single = {c: t for c, t in mapping.items() if len(t) == 1}
+    gone = "".join(c for c, t in mapping.items() if not t)
+    widened = text
+    for c, t in several.items():
+        widened = F.replace(widened, F.lit(c), F.lit(t))
+    widened = F.when(text.rlike(f"[{_char_class(several)}]"), widened).otherwise(text)
+    coarse = F.translate(widened, "".join(single) + gone, "".join(single.values()))
+    return F.xxhash64(F.when(F.octet_length(text) == F.length(text), text).otherwise(coarse))
+
+
 def look_alike_members(df: DataFrame, key: str, text: str) -> DataFrame:
     """(class_id, variant, key) of the texts in classes that hold more than one spelling.
 
     ``variant`` tells the spellings of a class apart; equal texts share it. Null and
     blank texts (nothing but spaces and unseen characters) are left out.
+
+    Only texts whose accent-free signature is shared by a different text go on to
+    the collation, which decides: the signature is equal wherever the collation
+    finds two texts equal. What is shuffled for it are three numbers a task and
+    signature. The texts that go on, and the result, are written to the shared
+    folder, as both are read more than once.
     """
-    rows = _mapped(df, key, text).where(_not_blank(F.col("_text"))).select("_key", F.xxhash64("_text").alias("_h"), "_look")
+    scratch = Scratch(df.sparkSession, "lookalike")
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(_not_blank(F.col("_text")))
+    signed = rows.select("_key", "_text", F.xxhash64("_text").alias("_h"), coarse_signature(F.col("_text")).alias("_sig"))
+    shared = signed.groupBy("_sig").agg(F.min("_h").alias("_a"), F.max("_h").alias("_b")).where("_a <> _b").select("_sig")
+    near = signed.join(shared, "_sig", "left_semi").select("_key", "_h", composed(look_alike(F.col("_text"))).alias("_look"))
+    near = scratch.save(near, "near")
     classes = (
-        rows.groupBy(F.collate("_look", COLLATION).alias("_class"))
+        near.groupBy(F.collate("_look", COLLATION).alias("_class"))
         .agg(F.min("_h").alias("class_id"), F.max("_h").alias("_other"))
         .where(F.col("class_id") != F.col("_other"))
     )
-    return rows.join(classes, F.collate("_look", COLLATION) == F.col("_class")).select("class_id", F.col("_h").alias("variant"), F.col("_key").alias(key))
+    members = near.join(classes, F.collate("_look", COLLATION) == F.col("_class")).select("class_id", F.col("_h").alias("variant"), F.col("_key").alias(key))
+    return scratch.save(members, "members")
 
 
 def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
