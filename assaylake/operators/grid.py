@@ -72,11 +72,12 @@ def median_filter(z: np.ndarray, size: tuple[int, int] = (3, 3)) -> np.ndarray:
 
 
 def gaussian_filter_1d(z: np.ndarray, sigma: float, axis: int = -1, *, truncate: float = 4.0, mode: str = "edge") -> np.ndarray:
+    """Convolution along one axis; ``mode`` is a padding of ``numpy.pad``."""
     r = int(truncate * sigma + 0.5)
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
     k /= k.sum()
     z = np.moveaxis(z, axis, -1)
-    padded = np.pad(z, [(0, 0)] * (z.ndim - 1) + [(r, r)], mode={"reflect": "symmetric"}.get(mode, mode))
+    padded = np.pad(z, [(0, 0)] * (z.ndim - 1) + [(r, r)], mode=mode)
     out = np.lib.stride_tricks.sliding_window_view(padded, 2 * r + 1, axis=-1) @ k
     return np.moveaxis(out, -1, axis)
 
@@ -231,7 +232,7 @@ def smooth_bins(bins: DataFrame, sigma: float, *, by: Sequence[str] = (), value:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin")
-        return pdf[[*by, "bin"]].assign(smoothed=gaussian_filter_1d(pdf[value].to_numpy(float), sigma, mode="reflect"))
+        return pdf[[*by, "bin"]].assign(smoothed=gaussian_filter_1d(pdf[value].to_numpy(float), sigma, mode="symmetric"))
 
     if by:
         schema = ", ".join(f"{c} {bins.schema[c].dataType.simpleString()}" for c in by)

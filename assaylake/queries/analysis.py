@@ -98,7 +98,7 @@ def chi2_yates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{BASE}, x as (select p.var_id, o.obs_id, o.region as g, coalesce(q.value, 0) as value from (select var_id from v where size = 10 and var_id in (select var_id from q)) p cross join o left join q on q.var_id = p.var_id and q.obs_id = o.obs_id),
 r as (select var_id, g, rank() over (partition by var_id order by value) + (count(*) over (partition by var_id, value) - 1) / 2.0 as r from x)
-select var_id, g as region, cast(sum(r) as double) as rank_sum from r group by 1, 2 having max(r) > (min(r) + 0) and count(*) > 0 and (var_id, g) in (select (q.var_id, o.region) from q join o using (obs_id))""")
+select var_id, g as region, cast(sum(r) as double) as rank_sum from r group by 1, 2 having (var_id, g) in (select (q.var_id, o.region) from q join o using (obs_id))""")
 def sparse_rank_sums(spark: SparkSession, d: str) -> DataFrame:
     a = supplier_parts(spark, d)
     coo = a.layer("qty").join(a.var.where("size = 10").select("var_id"), "var_id", "left_semi")
@@ -145,8 +145,8 @@ def depth_corr(spark: SparkSession, d: str) -> DataFrame:
     return rounded(T.depth_correlation(e, depth), "r", digits=5)
 
 
-@query(sql_round("""with m as (select s_acctbal > 4000 as r, s_nationkey > 12 as u from supplier), a as (select avg(cast(r as int)) as r, avg(cast(u as int)) as u from m)
-select case when m.r then 'p' else 'm' end || case when m.u then 'p' else 'm' end as quadrant, count(*) * 1.0 / (select count(*) from m) as observed, any_value(case when m.r then a.r else 1 - a.r end * case when m.u then a.u else 1 - a.u end) as expected from m, a group by 1""", ["observed", "expected"], ["quadrant"]))
+@query(sql_round("""with m as (select s_acctbal > 4000 as r, s_nationkey > 12 as u from supplier), a as (select avg(cast(r as int)) as r, avg(cast(u as int)) as u from m), x(quadrant, r, u) as (values ('pp', true, true), ('pm', true, false), ('mp', false, true), ('mm', false, false))
+select quadrant, (select count(*) from m where m.r = x.r and m.u = x.u) * 1.0 / (select count(*) from m) as observed, case when x.r then a.r else 1 - a.r end * case when x.u then a.u else 1 - a.u end as expected from x, a""", ["observed", "expected"], ["quadrant"]))
 def quadrants(spark: SparkSession, d: str) -> DataFrame:
     return rounded(T.quadrants(table(spark, d, "supplier"), "s_acctbal", "s_nationkey", at_x=4000, at_y=12), "observed", "expected")
 
@@ -402,12 +402,12 @@ def grid_mode(spark: SparkSession, d: str) -> DataFrame:
 _GZ = f"{_PIX}, n as (select ix, iy, count(*) as n from i group by 1, 2), b as (select obs_id, brand as var_id, sum(value) as value from q join v using (var_id) group by 1, 2), z as (select var_id, ix, iy, sum(value) / any_value(n) as z from b join i using (obs_id) join n using (ix, iy) group by 1, 2, 3), c as (select ix, iy, region, row_number() over (partition by ix, iy order by count(*) desc, region) as k from i group by 1, 2, 3), w as (select ix, iy, region, -(y0 + iy * ((y1 - y0) / {_RES[1] - 1})) as t from c, m where k = 1), f as (select w.*, u.var_id, coalesce(z, 0) as z from w cross join (select distinct var_id from z) u left join z on z.var_id = u.var_id and z.ix = w.ix and z.iy = w.iy)"
 
 
-@query(sql_round(f"{_GZ} select region, var_id, corr(z, t) as res from f group by 1, 2 having max(z) > 0", ["res"], ["region", "var_id"]))
+@query(sql_round(f"{_GZ} select region, var_id, case when isfinite(corr(z, t)) then corr(z, t) end as res from f group by 1, 2 having max(z) > 0", ["res"], ["region", "var_id"]))
 def landscape_corr(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_dynamics(spark, d, False), "res")
 
 
-@query(sql_round(f"{_GZ}, r as (select region, var_id, t, rank() over (partition by region, var_id order by round(z, 9)) + (count(*) over (partition by region, var_id, round(z, 9)) - 1) / 2.0 as z, z as raw from f) select region, var_id, corr(z, t) as res from r group by 1, 2 having max(raw) > 0", ["res"], ["region", "var_id"]))
+@query(sql_round(f"{_GZ}, r as (select region, var_id, t, rank() over (partition by region, var_id order by round(z, 9)) + (count(*) over (partition by region, var_id, round(z, 9)) - 1) / 2.0 as z, z as raw from f) select region, var_id, case when isfinite(corr(z, t)) then corr(z, t) end as res from r group by 1, 2 having max(raw) > 0", ["res"], ["region", "var_id"]))
 def landscape_rank_corr(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_dynamics(spark, d, True), "res")
 
