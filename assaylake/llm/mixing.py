@@ -50,7 +50,7 @@ def plan_sources(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     have = sizes.groupBy("source").agg(F.sum("n_tokens").alias("available"), F.count(F.lit(1)).alias("n_documents"), F.avg("weight").alias("_w"))
     total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)))
     out = wanted.join(have, "source", "left").na.fill(0, ["available", "n_documents"])
-    out = out.withColumn("budget", F.col("target_share") * total.scalar())
+    out = out.withColumn("all_tokens", total.scalar()).withColumn("budget", F.col("target_share") * F.col("all_tokens"))
     epochs = F.when(F.col("available") > 0, F.least(F.floor(F.col("budget") / F.col("available")), F.col("max_repeats"))).otherwise(F.lit(0))
     out = out.withColumn("epochs", epochs.cast("int"))
     return out.withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("available")).otherwise(F.lit(0.0)))
@@ -67,7 +67,9 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, key: str, *, seed: int = S
     that follow the weights (exponential keys divided by the weight, smallest
     first), up to the document that comes nearest to the budget. No document is
     taken more than ``max_repeats`` times; a budget beyond that can't be met, and
-    the share reached says so. A target without documents reaches 0.
+    the share reached says so. A target without documents reaches 0. The report
+    gives both the share of the mixture (``actual_share``) and of the tokens of
+    all documents (``share_of_all``, what the target is meant for).
 
     The prefix sums run over slices of the key range and then within slices, so no
     task orders a whole source. Documents without a source, or with one that is no
@@ -95,6 +97,6 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, key: str, *, seed: int = S
     whole = reached.agg(F.sum("mixed_tokens"))
     shares = shares.select(
         "source", "target_share", "max_repeats", "n_documents", F.col("available").alias("available_tokens"), F.col("budget").alias("budget_tokens"), "mixed_tokens", "most_copies",
-        F.coalesce(F.try_divide(F.col("mixed_tokens"), whole.scalar()), F.lit(0.0)).alias("actual_share"), (F.col("available") * F.col("max_repeats") >= F.col("budget")).alias("can_be_met"),
+        F.coalesce(F.try_divide(F.col("mixed_tokens"), F.col("all_tokens")), F.lit(0.0)).alias("share_of_all"), F.coalesce(F.try_divide(F.col("mixed_tokens"), whole.scalar()), F.lit(0.0)).alias("actual_share"), (F.col("available") * F.col("max_repeats") >= F.col("budget")).alias("can_be_met"),
     )
     return Mixture(documents, shares)

@@ -32,6 +32,7 @@ def test_budgets(spark):
     assert got["small"] == 4 * 50 * 40 and not shares["small"].can_be_met  # the target needs more repeats than allowed
     assert shares["big"].can_be_met and shares["missing"].mixed_tokens == 0 and not shares["missing"].can_be_met
     assert math.isclose(sum(r.actual_share for r in shares.values()), 1.0)
+    assert all(math.isclose(r.share_of_all, r.mixed_tokens / total) for r in shares.values()) and abs(shares["big"].share_of_all - 0.5) < 0.001
     assert {s: r.mixed_tokens for s, r in shares.items() if r.mixed_tokens} == dict(got)
 
 
