@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from assaylake.functions.cleaning import usable_vector
 from assaylake.plans.scratch import Scratch
 
 #: Parts of the radius that make the side of a tile. The records of one tile are
@@ -119,14 +120,17 @@ class Clustering:
     """Records (id, grp, vec) divided into clusters of alike ones.
 
     Two records are alike when they are of one non-null group and at most
-    ``radius`` apart. Records must have non-null unique ids and vectors of
-    ``dim`` finite numbers; those with a null group belong to no cluster.
+    ``radius`` apart. Records with a null id or group, or without a vector of
+    ``dim`` finite numbers, belong to no cluster; of an id that occurs more than
+    once the smallest (group, vector) counts. An empty table has no clusters.
     """
 
     def __init__(self, records: DataFrame, radius: float, dim: int) -> None:
         self.radius, self.dim = radius, dim
         self.scratch = Scratch(records.sparkSession, "clusters")
-        self.records = self.scratch.save(records.where(F.col("grp").isNotNull()).select("id", "grp", "vec"), "records")
+        usable = records.where(F.col("id").isNotNull() & F.col("grp").isNotNull() & usable_vector("vec", dim))
+        single = usable.groupBy("id").agg(F.min(F.struct("grp", "vec")).alias("_r")).select("id", "_r.grp", "_r.vec")
+        self.records = self.scratch.save(single, "records")
         nodes = self.scratch.save(tile_nodes(self.records, radius, dim), "tiles")
         out = nodes.withColumn("cluster", F.col("node"))
         for merge in average_linkage(similarity_graph(nodes, radius, dim), self.scratch):

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.functions.cleaning import usable_vector
 from assaylake.plans.scratch import Scratch
 
 #: Vectors of a posting list that the centroids are fitted for.
@@ -163,9 +164,9 @@ def fit_centroids(vectors: DataFrame, n: int, dim: int) -> CentroidGraph:
 def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int, *, dim: int | None = None) -> DataFrame:
     """(id, neighbour, distance, rank): the ``k`` nearest other rows of each row (Euclidean).
 
-    ``df`` holds one row per non-null id with a vector of finite numbers, all of
-    one length (``dim``, taken from the data if not given). At equal distance the
-    smaller id comes first. Rows with equal vectors are neighbours at distance 0;
+    Rows with a null id, or without a vector of ``dim`` finite numbers (by default
+    the most frequent length), are left out; of an id that occurs more than once
+    the smallest vector counts. At equal distance the smaller id comes first. Rows with equal vectors are neighbours at distance 0;
     they are indexed once, with their k + 1 smallest ids, so any number of copies
     costs no pairs. With fewer than k other rows all of them come out; an empty
     table gives no rows.
@@ -178,12 +179,12 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int, *, dim:
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "neighbours")
-    rows = scratch.save(df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")), "rows")
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & usable_vector("vec"))
+    if dim is None:
+        dim = rows.agg(F.mode(F.size("vec"), True).alias("d")).first().d or 1
+    rows = scratch.save(rows.where(F.size("vec") == dim).groupBy("id").agg(F.min("vec").alias("vec")), "rows")
     vectors = scratch.save(distinct_vectors(rows, k + 1), "vectors")
     n = vectors.count()
-    if dim is None:
-        first = vectors.select(F.size("vec").alias("d")).first()
-        dim = first.d if first else 1
     id_type = df.schema[id_col].dataType.simpleString()
     graph = spark.sparkContext.broadcast(fit_centroids(vectors, n, dim))
 

@@ -82,3 +82,10 @@ def test_edges(spark):
     assert nulls.isolated_cliques().count() == 0 and nulls.describe().count() == 0
     negative = [("a", 0, (-1e-9, 0.0)), ("b", 0, (1e-9, 0.0)), ("c", 0, (0.0, -1e-9))]
     assert Clustering(table(spark, negative), 0.05, 2).isolated_cliques().count() == 2
+
+
+def test_unusable_records(spark):
+    rows = [("a", 0, [0.0, 0.0]), ("b", 0, [0.01, 0.0]), ("b", 0, [0.01, 0.0]), ("c", 0, [0.0, 0.01]), ("d", 0, None), ("e", 0, [0.0]), ("f", 0, [float("nan"), 0.0]), (None, 0, [0.0, 0.0]), ("g", None, [0.0, 0.0])]
+    c = Clustering(spark.createDataFrame(rows, "id string, grp int, vec array<double>"), 0.05, 2)
+    assert {tuple(r) for r in c.isolated_cliques().collect()} == {("a", "b"), ("a", "c")}
+    assert [tuple(r) for r in c.describe().collect()] == [("a", 3, ["a", "b", "c"])] or c.describe().first()["size"] == 3

@@ -60,6 +60,13 @@ def test_edges(spark):
     assert answers(table(spark, list("abcd"), far), 1) == {"a": ["d"], "b": ["c"], "c": ["b"], "d": ["a"]}
 
 
+def test_unusable_rows(spark):
+    rows = [("a", [0.0, 0.0]), ("b", [1.0, 0.0]), ("b", [1.0, 0.0]), ("b", [9.0, 9.0]), ("c", None), ("d", [1.0]), ("e", [float("nan"), 0.0]), ("f", [None, 1.0]), (None, [0.0, 0.0]), ("g", [float("inf"), 0.0]), ("h", [])]
+    df = spark.createDataFrame(rows, "id string, vec array<double>")
+    assert answers(df, 5) == {"a": ["b"], "b": ["a"]} == answers(df, 5, dim=2)
+    assert answers(df, 5, dim=3) == {}
+
+
 def test_balanced():
     x = np.vstack([np.random.default_rng(0).normal(0, 1e-3, (5000, 2)), np.random.default_rng(1).uniform(0, 9, (500, 2))])
     c = N.balanced_centroids(x, 100)
