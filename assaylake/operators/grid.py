@@ -247,3 +247,16 @@ def order_by_membership(df: DataFrame, group: str, by: str, tie: str) -> DataFra
     before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)  # one row a group
     offsets = sizes.select(group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("offset"))
     return df.withColumn("place", F.row_number().over(w)).join(offsets, group)
+
+
+def add_expression(dynamics: DataFrame, means: DataFrame, group: str) -> DataFrame:
+    """The dynamics (group, var_id, ...) with ``exp``, the feature's mean in the group (0 where it has none)."""
+    return dynamics.join(means.select(group, "var_id", F.col("mean").alias("exp")), [group, "var_id"], "left").na.fill(0.0, ["exp"])
+
+
+def time_curve(coo: DataFrame, obs: DataFrame, feature: str, category: str, value: str, size: float, *, sigma: float | None = None) -> DataFrame:
+    """(bin, mean, n[, smoothed]): one feature over the time of one category's cells, zeros included."""
+    cells = obs.where((F.col(category) == value) & F.col("time").isNotNull()).select("obs_id", "time")
+    x = cells.join(coo.where(F.col("var_id") == feature).select("obs_id", "value"), "obs_id", "left").na.fill(0.0, ["value"])
+    bins = binned_mean(x, "time", "value", size)
+    return bins if sigma is None else bins.join(smooth_bins(bins, sigma), "bin")

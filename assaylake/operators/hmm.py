@@ -47,6 +47,25 @@ def create_hmm(n_states: int, kinds: list[str], *, seed: int = 0, inertia: float
     return Hmm(np.full(n_states, 1 / n_states), np.full((n_states, n_states), 1 / n_states), shape, rng.uniform(0.2, 2, (n_states, len(kinds))), tuple(kinds))
 
 
+def create_hmm_system(n_states: int, kinds: list[str], cell_types: list[tuple[int, ...]], *, seed: int = 0) -> dict[tuple[int, ...], Hmm]:
+    """One model for each group of cell types."""
+    return {tuple(sorted(group)): create_hmm(n_states, kinds, seed=seed + i) for i, group in enumerate(cell_types)}
+
+
+def fit_hmm_system(tensor: DataFrame, system: dict[tuple[int, ...], Hmm], *, pretrain_global: bool = True, **kwargs) -> dict[tuple[int, ...], Hmm]:
+    """Fits every model on its own cell types, beginning with one fitted on all of them if wished."""
+    start = fit_hmm(tensor, next(iter(system.values())), **kwargs)[0] if pretrain_global and system else None
+    return {group: fit_hmm(tensor.where(F.col("cell_type").isin(list(group))), start or model, **kwargs)[0] for group, model in system.items()}
+
+
+def system_posteriors(tensor: DataFrame, system: dict[tuple[int, ...], Hmm], **kwargs) -> DataFrame:
+    parts = [posteriors(tensor.where(F.col("cell_type").isin(list(group))), model, **kwargs) for group, model in system.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def forward_backward(hmm: Hmm, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Posteriors (t, k), summed transition posteriors (k, k) and the log-likelihood of a sequence (t, modalities)."""
     logd = hmm.log_density(x)

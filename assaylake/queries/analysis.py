@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaylake.operators import clustering as U
 from assaylake.operators import community as C
 from assaylake.operators import embedding as E
 from assaylake.operators import graph as G
@@ -301,11 +302,30 @@ def fuzzy_graph(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    return U.kmeans(points(spark, d), 5)
 
-    p = points(spark, d).select("id", array_to_vector("vec").alias("features"))
-    return KMeans(k=5, seed=0).fit(p).transform(p).select("id", F.col("prediction").alias("cluster"))
+
+def _columns(spark: SparkSession, d: str) -> DataFrame:
+    return _profiles(spark, d).select("var_id", F.col("region").alias("column"), "value")
+
+
+@query()
+def cluster_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return U.cluster_summaries(_columns(spark, d), 3, log_transform=True)
+
+
+@query()
+def cocluster_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return U.cocluster_summaries(_columns(spark, d))
+
+
+@query()
+def active_subclusters(spark: SparkSession, d: str) -> DataFrame:
+    """Connected groups of suppliers that sell much of a brand, on the graph of neighbouring keys."""
+    a = supplier_brands(spark, d)
+    edges = a.obs.select(F.col("obs_id").alias("src"), (F.col("obs_id").cast("long") + 1).cast("string").alias("dst"))
+    active = a.layer("qty").where("value > 300").select("var_id", "obs_id")
+    return U.active_subclusters(active, edges, min_degree=1, min_active=1)
 
 
 # embeddings, diffusion, layouts
@@ -451,6 +471,18 @@ def smoothed_curve(spark: SparkSession, d: str) -> DataFrame:
     return D.smooth_bins(D.binned_mean(e, "x", "value", 86400.0, by=["event_type"]), 2.0, by=["event_type"])
 
 
+@query(sql_round(f"{_GZ}, nr as (select region, count(*) as k from o group by 1), e as (select region, var_id, sum(b.value) / any_value(k) as exp from b join o using (obs_id) join nr using (region) group by 1, 2), c2 as (select region, var_id, case when isfinite(corr(z, t)) then corr(z, t) end as res from f group by 1, 2 having max(z) > 0) select region, var_id, res, coalesce(exp, 0) as exp from c2 left join e using (region, var_id)", ["res", "exp"], ["region", "var_id"]))
+def dynamics_with_expression(spark: SparkSession, d: str) -> DataFrame:
+    a = supplier_brands(spark, d)
+    return rounded(D.add_expression(_dynamics(spark, d, False), summarize_obs(a.layer("qty"), a.obs, "region"), "region"), "res", "exp")
+
+
+@query(sql_round(f"{BRANDS}, e as (select o.time, coalesce(b.value, 0) as value from o left join (select * from b where var_id = 'Brand#11') b using (obs_id) where region = 'ASIA'), m as (select min(time) as lo, max(time) as hi from e) select cast(least(floor((time - lo) / 1000), greatest(ceil((hi - lo) / 1000) - 1, 0)) as int) as bin, avg(value) as mean, count(*) as n from e, m group by 1", ["mean"], ["bin", "n"]))
+def time_curve(spark: SparkSession, d: str) -> DataFrame:
+    a = supplier_brands(spark, d)
+    return rounded(D.time_curve(a.layer("qty"), a.obs, "Brand#11", "region", "ASIA", 1000.0), "mean")
+
+
 # ontology
 
 _TERMS = [(f"T{i}", f"term {i}", ("MF", "CC", "BP")[0 if i < 6 else 1 if i < 9 else 2]) for i in range(12)]

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from assaylake.functions.special import beta_inc, chi2_sf_1, normal_two_sided, t_two_sided
 from assaylake.model import Assay, LayerSpec, Pct
+from assaylake import settings as Z
+from assaylake.operators import clustering as U
 from assaylake.operators import community as C
 from assaylake.operators import embedding as E
 from assaylake.operators import graph as G
@@ -354,3 +356,48 @@ def test_summaries_on_a_dense_matrix(spark):
         means = [m[[i for i in range(1, 12) if "xyz"[i % 3] == c and "pq"[i % 2] == r.cls], int(r.var_id[1:])].mean() for c in "xyz"]
         p = np.array([x for x in means if x]) / sum(means)
         assert math.isclose(r.entropy, -(p * np.log2(p)).sum(), abs_tol=1e-9) and math.isclose(r.prevalence, np.mean(means))
+
+
+def test_clusterings(spark):
+    x, df = blobs(spark)
+    got = {r.id: r.cluster for r in U.kmeans(df, 3).collect()}
+    assert len({(v, int(k[1:]) // 40) for k, v in got.items()}) == 3
+    assert U.kmeans(df.limit(0), 3).count() == 0
+    rng = np.random.default_rng(0)
+    prof = [(f"f{i:02d}", c, float((5.0 if i % 3 == j else 0.3) + rng.random())) for i in range(30) for j, c in enumerate("abc")]
+    p = spark.createDataFrame(prof, "var_id string, column string, value double")
+    assert {r.var_id: r.cluster for r in U.cocluster_summaries(p).collect()} == {f"f{i:02d}": i % 3 for i in range(30)}
+    k = {r.var_id: r.cluster for r in U.cluster_summaries(p, 3).collect()}
+    assert len({(v, int(n[1:]) % 3) for n, v in k.items()}) == 3
+    assert {r.cluster for r in U.cluster_summaries(p.where("var_id < 'f05'"), 3).collect()} == {0}
+
+
+def test_active_subclusters(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("x", "a")], "src string, dst string")
+    active = spark.createDataFrame([("g", c) for c in "abcdez"] + [("h", c) for c in "abx"], "var_id string, obs_id string")
+    got = {tuple(r) for r in U.active_subclusters(active, edges, min_degree=1, min_active=2).collect()}
+    assert got == {("g", c, "a") for c in "abc"} | {("h", c, "a") for c in "abx"}
+
+
+def test_hmm_system(spark):
+    rng = np.random.default_rng(1)
+    rows = [("g", c, t, 0, float(rng.gamma(2, 1 + c))) for c in range(3) for t in range(20)]
+    tensor = spark.createDataFrame(rows, "gene string, cell_type int, t int, modality int, value double")
+    system = H.fit_hmm_system(tensor, H.create_hmm_system(2, ["gamma"], [(0,), (1, 2)]), max_iter=2)
+    assert set(system) == {(0,), (1, 2)} and H.system_posteriors(tensor, system).count() == 60
+    with pytest.raises(ValueError):
+        H.create_hmm(2, ["normal"])
+
+
+def test_settings(spark):
+    before = Z.settings.n_jobs
+    assert Z.set_defaults(n_jobs=3, debug=None).n_jobs == 3
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    assert Z.configure(spark).conf.get("spark.sql.shuffle.partitions") == "3"
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    Z.set_defaults(n_jobs=before)
+    Z.set_verbosity_level("error_only")
+    Z.set_verbosity_level("all")
+    for bad in (lambda: Z.set_defaults(cores=1), lambda: Z.set_verbosity_level("loud")):
+        with pytest.raises(ValueError):
+            bad()
