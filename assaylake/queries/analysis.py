@@ -180,10 +180,13 @@ def likelihood_markers(spark: SparkSession, d: str) -> DataFrame:
     return T.likelihood_test(a.layer("qty").withColumn("value", F.log1p("value")), cells, groups=a.layer("qty"), min_lfc=0.05)
 
 
-@query()
+@query(sql_round(f"""{BRANDS}, x as (select y.var_id, o.obs_id, o.region as g, coalesce(b.value, 0) as value from (select distinct var_id from b) y cross join o left join b on b.var_id = y.var_id and b.obs_id = o.obs_id),
+r as (select var_id, g, value, rank() over (partition by var_id order by value) + (count(*) over (partition by var_id, value) - 1) / 2.0 as r from x),
+t as (select var_id, g, sum(r) - count(*) * (count(*) + 1) / 2.0 as u1, count(*) * ((select count(*) from o) - count(*)) * 1.0 as nn from r group by 1, 2 having max(value) > 0)
+select g as "group", var_id, least(u1, nn - u1) as u, case when u1 > 0 then ln(u1 / (nn / 2)) end as score from t""", ["u", "score"], ['"group"', "var_id"]))
 def enriched_ranks(spark: SparkSession, d: str) -> DataFrame:
     a = supplier_brands(spark, d)
-    return T.enriched_ranks(a.layer("qty"), a.obs, "region")
+    return rounded(T.enriched_ranks(a.layer("qty"), a.obs, "region").select("group", "var_id", "u", "score"), "u", "score")
 
 
 # neighbours, communities
