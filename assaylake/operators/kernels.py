@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.plans.scratch import Scratch
+
 
 def matmul(a: DataFrame, b: DataFrame, *, row: str, inner: str, col: str, value: str = "value") -> DataFrame:
     """Sparse product: ``a`` is (row, inner, value), ``b`` is (inner, col, value)."""
@@ -19,30 +21,64 @@ def transposed(coo: DataFrame, a: str = "obs_id", b: str = "var_id") -> DataFram
     return coo.select(F.col(b).alias(a), F.col(a).alias(b), "value")
 
 
+def _in_order(df: DataFrame, partition: Sequence[str], by: str, amount: str) -> tuple[DataFrame, list[str]]:
+    """Adds ``_upto``, the running total of ``amount`` in the order of ``by``, and names the columns of a unit of work.
+
+    Within partitions a window does it. A whole table is instead cut into ranges
+    of ``by``, each summed by its own task; the totals of earlier ranges, one
+    number each, are added. The cut table is written, so that all passes see the
+    same ranges.
+    """
+    upto = lambda keys: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    if partition:
+        return df.withColumn("_upto", F.sum(amount).over(upto(partition))), list(partition)
+    cut = Scratch(df.sparkSession, "ordered").save(df.repartitionByRange(by).withColumn("_range", F.spark_partition_id()), "cut")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = cut.groupBy("_range").agg(F.sum(amount).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = cut.withColumn("_w", F.sum(amount).over(upto(["_range"])))
+    return within.join(starts, "_range").withColumn("_upto", F.col("_w") + F.col("_start")).drop("_w", "_start"), ["_range"]
+
+
 def midrank(df: DataFrame, partition: Sequence[str], value: str, *, n_zeros: Column | None = None, out: str = "rank") -> DataFrame:
     """Average rank of ties, within partitions, from the number of rows per distinct value.
 
     Rows are first counted per value, so ranking orders distinct values only, and
-    the counts are combined map-side. With ``n_zeros`` the partition also holds so
-    many implicit zeros; ``value`` is then expected to be positive.
+    the counts are combined map-side; without partitions the order is spread over
+    ranges of the value. With ``n_zeros`` the partition also holds so many implicit
+    zeros; ``value`` is then expected to be positive.
     """
     keys = [*partition, value]
     per_value = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_t"))
-    w = Window.partitionBy(*partition).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    upto = per_value.withColumn("_upto", F.sum("_t").over(w))
+    upto, _ = _in_order(per_value, partition, value, "_t")
     ranked = upto.select(*keys, (F.col("_upto") - (F.col("_t") - 1) / 2).alias(out), F.col("_t").alias("n_ties"))
     joined = df.join(ranked, keys)
     return joined if n_zeros is None else joined.withColumn(out, F.col(out) + n_zeros)
 
 
 def benjamini_hochberg(df: DataFrame, p: str, *, partition: Sequence[str] = (), out: str = "p_adj") -> DataFrame:
-    """Adjusted p-values within each partition; NaN and null p-values count as 1."""
-    q = F.when(F.col(p).isNull() | F.isnan(p), F.lit(1.0)).otherwise(F.col(p))
-    whole = Window.partitionBy(*partition)
-    ascending = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    descending = whole.orderBy(F.col("_i").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = df.withColumn("_p", q).withColumns({"_i": F.row_number().over(ascending), "_n": F.count(F.lit(1)).over(whole)})
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_n") / F.col("_i")).over(descending))).drop("_p", "_i", "_n")
+    """Adjusted p-values within each partition; NaN and null p-values count as 1.
+
+    Equal p-values have the same adjusted one, that of the last of them, so only
+    distinct values are put in order (in ranges, if there are no partitions).
+    """
+    clean = df.withColumn("_p", F.when(F.col(p).isNull() | F.isnan(p), F.lit(1.0)).otherwise(F.col(p)))
+    keys = [*partition, "_p"]
+    counts = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_t"))
+    ordered, unit = _in_order(counts, partition, "_p", "_t")
+    if partition:
+        total = F.sum("_t").over(Window.partitionBy(*partition))
+    else:
+        total = counts.agg(F.sum("_t")).scalar()
+    raw = ordered.withColumn("_n", total).withColumn("_a", F.col("_p") * F.col("_n") / F.col("_upto"))
+    later = Window.partitionBy(*unit).orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
+    best = raw.withColumn("_b", F.min("_a").over(later))
+    if not partition:
+        after = Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)  # one row a range
+        beyond = raw.groupBy("_range").agg(F.min("_a").alias("_m")).select("_range", F.min("_m").over(after).alias("_beyond"))
+        best = best.join(beyond, "_range").withColumn("_b", F.least("_b", "_beyond"))
+    adjusted = best.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.least(F.lit(1.0), F.col("_b")).alias(out))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return clean.join(adjusted, same).drop("_p", *[f"_k{i}" for i in range(len(keys))])
 
 
 def interval_join(a: DataFrame, b: DataFrame, *, width: int, on: str = "chr", start: str = "start", end: str = "end") -> DataFrame:

@@ -60,6 +60,26 @@ def test_ranks_and_adjustment(spark):
     assert K.benjamini_hochberg(p.limit(0), "p").count() == 0
 
 
+def test_order_over_ranges(spark):
+    rng = np.random.default_rng(4)
+    p = np.round(rng.random(3000) ** 3, 3)
+    df = spark.createDataFrame([(i, float(x), "ab"[i % 2]) for i, x in enumerate(p)], "i int, p double, g string").repartition(6)
+
+    def adjust(q):
+        order = np.argsort(q, kind="stable")
+        a = np.minimum.accumulate((q[order] * len(q) / np.arange(1, len(q) + 1))[::-1])[::-1]
+        out = np.empty(len(q))
+        out[order] = np.minimum(a, 1)
+        return out
+
+    got = np.array([r.p_adj for r in K.benjamini_hochberg(df, "p").orderBy("i").collect()])
+    assert np.allclose(got, adjust(p))
+    got = np.array([r.p_adj for r in K.benjamini_hochberg(df, "p", partition=["g"]).orderBy("i").collect()])
+    assert np.allclose(got[::2], adjust(p[::2])) and np.allclose(got[1::2], adjust(p[1::2]))
+    rank = np.array([r["rank"] for r in K.midrank(df, [], "p").orderBy("i").collect()])
+    assert np.allclose(rank, [(p < x).sum() + ((p == x).sum() + 1) / 2 for x in p])
+
+
 def test_quantile_with_zeros(spark):
     x = np.array([[0, 0, 5, 1, 0], [0, 2, 2, 8, 9], [0, 0, 0, 0, 0], [1, 1, 1, 1, 1]], float).T
     for q in (0.0, 0.3, 0.5, 0.77, 1.0):
