@@ -18,6 +18,7 @@ from assaylake.operators import stats as T
 from assaylake.operators.kernels import benjamini_hochberg, midrank
 from assaylake.operators.layers import l2_norm
 from assaylake.operators.summaries import summarize_obs
+from assaylake.plans.scratch import Scratch
 from assaylake.queries._adapt import BASE, BRANDS, points, rounded, sql_round, supplier_brands, supplier_parts
 from assaylake.sources.tables import table
 
@@ -241,6 +242,39 @@ def knn_impute(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.knn_impute(_order_graph(spark, d), supplier_brands(spark, d).layer("qty")), "value")
 
 
+def _linked(neighbours: DataFrame) -> DataFrame:
+    """Both directions of all pairs of a neighbour table, weighted by 1 / (1 + distance)."""
+    u = G.undirected(neighbours.select("src", "dst", (1 / (1 + F.col("distance"))).alias("weight")))
+    return Scratch(neighbours.sparkSession, "neighbours").save(u.unionByName(u.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "graph")
+
+
+def _neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Every embedding linked with its ten nearest."""
+    p = points(spark, d)
+    return _linked(G.knn_exact(p, p, 10))
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return points(spark, d).select("id", F.col("label").alias("community"))
+
+
+_LINKED = """u as (select least(src, dst) as src, greatest(src, dst) as dst, max(1 / (1 + distance)) as weight from r where "rank" <= 10 group by 1, 2), g as (select * from u union all select dst, src, weight from u)"""
+_NEAR = f"{_DIST}, {_LINKED}, m as (select id, label as community from e)"
+_SUPPLIERS = f"""{BRANDS}, f as (select o.obs_id, y.var_id, coalesce(b.value, 0) as x from o cross join (select distinct brand as var_id from v) y left join b on b.obs_id = o.obs_id and b.var_id = y.var_id),
+d as (select a.obs_id as src, c.obs_id as dst, sqrt(sum((a.x - c.x) ** 2)) as distance from f a join f c using (var_id) where a.obs_id <> c.obs_id group by 1, 2), r as (select *, row_number() over (partition by src order by distance, dst) as "rank" from d), {_LINKED}"""
+
+
+@query(sql_round(f"""{_SUPPLIERS}, c as (select dst, sum(weight) as s from g group by 1), a as (select g.src, g.dst, weight / x.s / y.s as w from g join c x on x.dst = g.src join c y on y.dst = g.dst),
+t as (select obs_id, sum(value) as s from b group by 1), n as (select obs_id, var_id, 1000 * value / s as value from b join t using (obs_id))
+select obs_id, var_id, sum(value) as value from (select a.src as obs_id, n.var_id, 0.6 * w * n.value as value from a join n on n.obs_id = a.dst union all select obs_id, var_id, 0.4 * value from b) group by 1, 2""", ["value"], ["obs_id", "var_id"]))
+def knn_impute_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every supplier is smoothed over the ten suppliers with the most similar brands."""
+    a = supplier_brands(spark, d)
+    grid = a.obs.select("obs_id").join(a.var, how="cross").join(a.layer("qty"), ["obs_id", "var_id"], "left")
+    vecs = grid.groupBy(F.col("obs_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("var_id", F.coalesce("value", F.lit(0.0)).alias("x"))))["x"].alias("vec"))
+    return rounded(G.knn_impute(_linked(G.knn_exact(vecs, vecs, 10)), a.layer("qty")), "value")
+
+
 @query(sql_round("""with e as (select vec_id as id, list_transform(embedding, lambda x: cast(x as double)) as vec, label from embeddings), n as (select label, count(*) as n from e group by 1),
 d as (select a.id, a.label as own, b.label as other, sum(sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) as s from e a, e b group by 1, 2, 3),
 x as (select id, own as cluster, max(case when own = other then s / nullif(n - 1, 0) end) as a, min(case when own <> other then s / n end) as b from d join n on n.label = d.other group by 1, 2)
@@ -267,6 +301,17 @@ def partition_modularity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.modularity(both, m), "modularity")
 
 
+@query(f"{_NEAR} select least(a.community, b.community) as ca, greatest(a.community, b.community) as cb, count(*) as n_edges from u join m a on a.id = src join m b on b.id = dst group by 1, 2")
+def community_edges_all(spark: SparkSession, d: str) -> DataFrame:
+    return C.contract(_neighbour_graph(spark, d), _labels(spark, d))
+
+
+@query(sql_round(f"""{_NEAR}, t as (select sum(weight) as w from g), x as (select a.community as c, sum(case when a.community = b.community then weight else 0 end) as i, sum(weight) as k from g join m a on a.id = src join m b on b.id = dst group by 1)
+select sum(i / w - (k / w) ** 2) as modularity from x, t""", ["modularity"]))
+def partition_modularity_all(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(C.modularity(_neighbour_graph(spark, d), _labels(spark, d)), "modularity")
+
+
 @query(f"""with recursive e as (select vec_id as id, list_transform(embedding, lambda x: cast(x as double)) as vec from embeddings),
 g as (select a.id as src, b.id as dst from e a, e b where a.id <> b.id and sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) <= 1.15),
 k as (select src as id from g group by 1 having count(*) >= 3), h as (select src, dst from g where src in (select id from k) and dst in (select id from k)),
@@ -285,6 +330,14 @@ def assortativity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.assortativity(_order_graph(spark, d), active), "assortativity")
 
 
+@query(sql_round(f"""{_NEAR}, c as (select src as id, count(*) as k from g group by 1), p as (select k, count(*) * 1.0 / (select count(*) from c) as p from c group by 1),
+q as (select p.k, coalesce(x.k * x.p, 0) as q from p left join p x on x.k = p.k + 1), z as (select k, q / (select nullif(sum(q), 0) from q) as q from q), mm as (select sum(k * q) as m, sum(k * k * q) as m2 from z),
+y as (select sum(a.q * b.q) as s from g join c i on i.id = g.src join c j on j.id = g.dst join z a on a.k = i.k join z b on b.k = j.k) select (s - m * m) / nullif(m2 - m * m, 0) as assortativity from y, mm""", ["assortativity"]))
+def assortativity_all(spark: SparkSession, d: str) -> DataFrame:
+    """With every node active."""
+    return rounded(C.assortativity(_neighbour_graph(spark, d), points(spark, d).select("id")), "assortativity")
+
+
 @query()
 def leiden(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
@@ -359,11 +412,14 @@ def diffusion_transitions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.diffusion_transitions(_order_graph(spark, d)), "weight")
 
 
+@query(sql_round(f"""{_NEAR}, q as (select dst, sum(weight) as q from g group by 1), k as (select g.src, g.dst, weight / a.q / b.q as w from g join q a on a.dst = g.src join q b on b.dst = g.dst), z as (select dst, sqrt(sum(w)) as z from k group by 1) select k.src, k.dst, w / a.z / b.z as weight from k join z a on a.dst = k.src join z b on b.dst = k.dst""", ["weight"], ["src", "dst"]))
+def diffusion_transitions_all(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(E.diffusion_transitions(_neighbour_graph(spark, d)), "weight")
+
+
 @query()
 def diffusion_map(spark: SparkSession, d: str) -> DataFrame:
-    g = _order_graph(spark, d)
-    both = g.unionByName(g.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    return E.diffusion_map(both, 4, passes=4)[1]
+    return E.diffusion_map(_neighbour_graph(spark, d), 4, passes=4)[1]
 
 
 _EIG = (0.99995, 0.9, 0.5, 0.25)
@@ -385,6 +441,16 @@ def landscape_coarse(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.coarse_landscape(_order_graph(spark, d), cells, leaves), "x", "y")
 
 
+@query(sql_round(f"""{_NEAR}, l as (select id, community * 1.0 / (select nullif(max(community), 0) from m) as position from m), x as (select community, avg(coalesce(position, 0)) as x from g join m on m.id = g.src join l on l.id = g.dst group by 1)
+select e.id as obs_id, coalesce(x, 0) as x, -vec[1] as y from e join m using (id) left join x using (community)""", ["x", "y"], ["obs_id"]))
+def landscape_coarse_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every label is a leaf community; the first component stands for time."""
+    p = points(spark, d)
+    cells = p.select(F.col("id").alias("obs_id"), F.col("label").alias("community"), F.get("vec", 0).alias("time"))
+    order = p.select(F.col("label").alias("community"), F.col("label").alias("position")).distinct()
+    return rounded(E.coarse_landscape(_neighbour_graph(spark, d), cells, E.scaffold(cells, order)), "x", "y")
+
+
 @query()
 def umap_layout(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
