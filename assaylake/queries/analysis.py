@@ -107,6 +107,15 @@ def sparse_rank_sums(spark: SparkSession, d: str) -> DataFrame:
     return T.sparse_rank_sums(coo, a.obs, "region", a.obs.agg(F.count(F.lit(1))).scalar())
 
 
+@query(f"""{BASE}, c as (select region as g, count(*) as n from o group by 1), x as (select q.var_id, o.region as g, value from q join o using (obs_id) where value > 0),
+r as (select var_id, g, rank() over (partition by var_id order by value) + (count(*) over (partition by var_id, value) - 1) / 2.0 as r, (select count(*) from o) - count(*) over (partition by var_id) as z from x)
+select var_id, g as region, cast(sum(r + z) + (any_value(c.n) - count(*)) * (any_value(z) + 1) / 2.0 as double) as rank_sum from r join c using (g) group by 1, 2""")
+def sparse_rank_sums_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same for every part; the SQL counts the block of zeros instead of forming it."""
+    a = supplier_parts(spark, d)
+    return T.sparse_rank_sums(a.layer("qty"), a.obs, "region", a.obs.agg(F.count(F.lit(1))).scalar())
+
+
 _RANKED = f"""{BASE}, s as (select region as g, count(*) as n from o group by 1), x as (select var_id, region as g, sum(value) as v from q join o using (obs_id) group by 1, 2)"""
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from assaylake.queries import analysis
-from assaylake.queries._adapt import points, supplier_brands
+from assaylake.queries._adapt import points, supplier_brands, supplier_parts
 
 
 @pytest.fixture(scope="module")
@@ -41,3 +41,17 @@ def test_every_supplier_is_smoothed(spark, data):
     own = {(r.obs_id, r.var_id): 0.4 * r.value for r in supplier_brands(spark, wide).layer("qty").collect()}
     moved = {r.obs_id for r in analysis.QUERIES["knn_impute_all"](spark, wide).collect() if abs(own.get((r.obs_id, r.var_id), 0.0) - r.value) > 1e-5}
     assert moved == {o for o, _ in own} and len(moved) > 50
+
+
+def test_rank_sums_of_every_part(spark, data):
+    a = supplier_parts(spark, data)
+    cells = {r.obs_id: r.region for r in a.obs.collect()}
+    values = {}
+    for r in a.layer("qty").collect():
+        values.setdefault(r.var_id, {})[r.obs_id] = r.value
+    got = {(r.var_id, r.region): r.rank_sum for r in analysis.QUERIES["sparse_rank_sums_all"](spark, data).collect()}
+    assert {v for v, _ in got} == set(values)
+    for (v, g), total in got.items():
+        col = np.array([values[v].get(o, 0.0) for o in cells])
+        rank = np.array([(col < c).sum() + ((col == c).sum() + 1) / 2 for c in col])
+        assert total == rank[[x == g for x in cells.values()]].sum()
