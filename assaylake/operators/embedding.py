@@ -1,11 +1,14 @@
 """Principal components, spectral embeddings, diffusion maps, layouts.
 
-Eigenproblems use blocks: all k vectors are multiplied in one pass over the data
-(as arrays), a few passes suffice, and the driver only sees k x k matrices.
+Eigenproblems use blocks: all vectors are multiplied in one pass over the data
+(as arrays), until the residuals are small, and the driver only sees matrices of
+at most BASIS rows and columns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,8 +18,10 @@ from assaylake.operators.layers import gram_weights, idf, l2_norm
 from assaylake.operators.metadata import concat_features
 from assaylake.plans.scratch import Scratch
 
-PASSES = 8
+PASSES = 300
 OVERSAMPLE = 10
+TOLERANCE = 1e-6
+BASIS = 100
 
 
 def _gaussians(key: Column, k: int, seed: int) -> Column:
@@ -62,41 +67,79 @@ def _rotate(v: Column, m: np.ndarray) -> Column:
     return times(v)
 
 
-def top_eigenpairs(entries: DataFrame, nodes: DataFrame, k: int, *, seed: int = 0, passes: int = PASSES, scratch: Scratch | None = None) -> tuple[np.ndarray, DataFrame]:
+def _orthonormal(g: np.ndarray) -> np.ndarray:
+    """M such that the columns of V M are orthonormal, from g = V^T V; directions that vanish are left out."""
+    size = np.sqrt(np.maximum(np.diag(g), 0))
+    inverse = np.where(size > 0, 1 / np.where(size > 0, size, 1), 0)
+    w, u = np.linalg.eigh(inverse[:, None] * (g + g.T) / 2 * inverse)
+    keep = w > max(w.max(), 0) * 1e-12
+    return inverse[:, None] * u[:, keep] / np.sqrt(w[keep])
+
+
+def _eigenpairs(times: Callable[[DataFrame, int], DataFrame], start: DataFrame, key: str, width: int, k: int, tol: float, passes: int, scratch: Scratch) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """Eigenvalues of largest magnitude (descending by value), (key, vec) and the matrix that turns vec into the eigenvectors.
+
+    ``times(block, width)`` multiplies the symmetric matrix by a block (key, vec).
+    Each pass adds the residuals of the leading Ritz vectors to the basis (a block
+    Krylov space), which falls back to these vectors when it would exceed BASIS.
+    It ends when every residual |A v - l v| is at most ``tol`` |l| (or vanishes
+    beside the largest eigenvalue); after ``passes`` passes without that it raises.
+    """
+    m = width
+    basis = scratch.save(start.join(times(start, m).withColumnRenamed("vec", "image"), key), "basis0")
+    for i in range(1, passes + 1):
+        g = _gram(basis.select(F.concat("vec", "image").alias("both")), "both", "both", 2 * m)
+        white = _orthonormal(g[:m, :m])
+        t = white.T @ g[:m, m:] @ white
+        values, y = np.linalg.eigh((t + t.T) / 2)
+        lead = np.argsort(-np.abs(values), kind="stable")[:width]
+        values, y = values[lead], white @ y[:, lead]
+        residual = np.concatenate([-y * values, y])
+        r = scratch.save(basis.select(key, "vec", "image", _rotate(F.concat("vec", "image"), residual).alias("residual")), f"residual{i}")
+        own = _gram(r, "residual", "residual", len(lead))
+        top = np.abs(values).max()
+        norms = np.sqrt(np.maximum(np.diag(own), 0))[:k]
+        if (norms <= np.maximum(tol * np.abs(values[:k]), 1e-12 * top)).all():
+            order = np.argsort(-values[:k], kind="stable")
+            return values[:k][order], basis, y[:, :k][:, order]
+        if i == passes:
+            break
+        new = _orthonormal(own)
+        block = r.select(key, _rotate(F.col("residual"), new).alias("vec"))
+        more = new.shape[1]
+        image = scratch.save(block.join(times(block, more).withColumnRenamed("vec", "image"), key), f"image{i}").select(key, F.col("vec").alias("_v"), F.col("image").alias("_i"))
+        old = r.select(key, "vec", "image")
+        if m + more > max(BASIS, 2 * width):
+            old = old.select(key, _rotate(F.col("vec"), y).alias("vec"), _rotate(F.col("image"), y).alias("image"))
+            m = len(lead)
+        basis = scratch.save(old.join(image, key).select(key, F.concat("vec", "_v").alias("vec"), F.concat("image", "_i").alias("image")), f"basis{i}")
+        m += more
+        for name in (f"basis{i - 1}", f"residual{i}", f"image{i}"):
+            scratch.drop(name)
+    raise RuntimeError(f"no convergence in {passes} passes: residuals {norms.max():.1e}, eigenvalues {values[:k]}")
+
+
+def top_eigenpairs(entries: DataFrame, nodes: DataFrame, k: int, *, seed: int = 0, passes: int = PASSES, tol: float = TOLERANCE, scratch: Scratch | None = None) -> tuple[np.ndarray, DataFrame]:
     """Eigenvalues of largest magnitude (descending by value) and (id, vec) of a sparse symmetric matrix (src, dst, weight).
 
-    Block subspace iteration with a k x k orthonormalisation by Cholesky per pass
-    and a final Rayleigh-Ritz step. Signs are free.
+    To a residual of ``tol`` times the eigenvalue; not reaching it in ``passes``
+    passes is an error. Signs are free.
     """
     scratch = scratch or Scratch(nodes.sparkSession, "eigen")
     p = k + OVERSAMPLE
     a = scratch.save(entries.select("src", "dst", "weight"), "matrix")
     block = scratch.save(nodes.select("id", _gaussians(F.col("id"), p, seed).alias("vec")), "block0")
+    ids = block.select("id")
 
-    def times(b: DataFrame) -> DataFrame:
-        prod = a.join(b.withColumnRenamed("id", "dst"), "dst").select("src", _scaled(F.col("weight"), F.col("vec")).alias("v")).groupBy("src").agg(_sum_arrays("v", p).alias("v"))
-        return nodes.select("id").join(prod, nodes["id"] == prod["src"], "left").select("id", F.coalesce("v", F.array(*[F.lit(0.0)] * p)).alias("vec"))
+    def times(b: DataFrame, n: int) -> DataFrame:
+        prod = a.join(b.withColumnRenamed("id", "dst"), "dst").select("src", _scaled(F.col("weight"), F.col("vec")).alias("v")).groupBy("src").agg(_sum_arrays("v", n).alias("v"))
+        return ids.join(prod, ids["id"] == prod["src"], "left").select("id", F.coalesce("v", F.array(*[F.lit(0.0)] * n)).alias("vec"))
 
-    for i in range(1, passes + 1):
-        step = scratch.save(times(times(block)), f"step{i}")
-        g = _gram(step, "vec", "vec", p)
-        w, u = np.linalg.eigh((g + g.T) / 2)
-        keep = w > w.max() * 1e-14
-        m = np.zeros((p, p))
-        m[:, keep] = u[:, keep] / np.sqrt(w[keep])
-        block = step.select("id", _rotate(F.col("vec"), m).alias("vec"))
-    image = scratch.save(block.join(times(block).withColumnRenamed("vec", "image"), "id"), "image")
-    t, s = _gram(image, "vec", "image", p), _gram(image, "vec", "vec", p)
-    w, u = np.linalg.eigh((s + s.T) / 2)
-    good = w > 1e-8
-    white = u[:, good] / np.sqrt(w[good])
-    values, y = np.linalg.eigh(white.T @ ((t + t.T) / 2) @ white)
-    pick = np.argsort(-np.abs(values), kind="stable")[:k]
-    pick = pick[np.argsort(-values[pick], kind="stable")]
-    return values[pick], block.select("id", _rotate(F.col("vec"), white @ y[:, pick]).alias("vec"))
-
-
-def spectral(coo: DataFrame, k: int = 25, *, weighted_by_sd: bool = True, seed: int = 0, skip_idf: bool = False, passes: int = PASSES) -> tuple[np.ndarray, DataFrame]:
+    values, vectors, m = _eigenpairs(times, block, "id", p, k, tol, passes, scratch)
+    return values, vectors.select("id", _rotate(F.col("vec"), m).alias("vec"))
+
+
+def spectral(coo: DataFrame, k: int = 25, *, weighted_by_sd: bool = True, seed: int = 0, skip_idf: bool = False, passes: int = PASSES, tol: float = TOLERANCE) -> tuple[np.ndarray, DataFrame]:
     """Top eigenpairs of the normalised cosine graph of the cells, without its loops: (eigenvalues, (obs_id, vec)).
 
     With X the L2 norm of the idf of the counts, the operator is
@@ -107,10 +150,10 @@ def spectral(coo: DataFrame, k: int = 25, *, weighted_by_sd: bool = True, seed:
     n = coo.agg(F.count_distinct("obs_id").cast("double")).scalar()
     scratch = Scratch(coo.sparkSession, "spectral")
     x = scratch.save(l2_norm(coo if skip_idf else idf(coo, n)).where("value <> 0"), "x")
-    return _spectral_solve(x, k, weighted_by_sd, seed, passes, scratch)
+    return _spectral_solve(x, k, weighted_by_sd, seed, passes, tol, scratch)
 
 
-def _spectral_solve(x: DataFrame, k: int, weighted: bool, seed: int, passes: int, scratch: Scratch) -> tuple[np.ndarray, DataFrame]:
+def _spectral_solve(x: DataFrame, k: int, weighted: bool, seed: int, passes: int, tol: float, scratch: Scratch) -> tuple[np.ndarray, DataFrame]:
     p = k + OVERSAMPLE
     column = x.groupBy("var_id").agg(F.sum("value").alias("_c"))
     d = scratch.save(x.join(column, "var_id").groupBy("obs_id").agg((F.sum(F.col("value") * F.col("_c")) - F.sum(F.col("value") * F.col("value"))).alias("d"), F.sum(F.col("value") * F.col("value")).alias("s")), "degree")
@@ -120,34 +163,18 @@ def _spectral_solve(x: DataFrame, k: int, weighted: bool, seed: int, passes: int
     y = scratch.save(x.join(d, "obs_id").select("obs_id", "var_id", (F.col("value") / F.sqrt("d")).alias("value")), "y")
     block = scratch.save(d.select("obs_id", _gaussians(F.col("obs_id"), p, seed).alias("vec")), "block0")
 
-    def times(b: DataFrame) -> DataFrame:
-        inner = y.join(b, "obs_id").select("var_id", _scaled(F.col("value"), F.col("vec")).alias("v")).groupBy("var_id").agg(_sum_arrays("v", p).alias("u"))
-        outer = y.join(inner, "var_id").select("obs_id", _scaled(F.col("value"), F.col("u")).alias("v")).groupBy("obs_id").agg(_sum_arrays("v", p).alias("v"))
+    def times(b: DataFrame, n: int) -> DataFrame:
+        inner = y.join(b, "obs_id").select("var_id", _scaled(F.col("value"), F.col("vec")).alias("v")).groupBy("var_id").agg(_sum_arrays("v", n).alias("u"))
+        outer = y.join(inner, "var_id").select("obs_id", _scaled(F.col("value"), F.col("u")).alias("v")).groupBy("obs_id").agg(_sum_arrays("v", n).alias("v"))
         own = b.join(d, "obs_id").join(outer, "obs_id")
         return own.select("obs_id", F.zip_with("v", _scaled(F.col("s") / F.col("d"), F.col("vec")), lambda a, c: a - c).alias("vec"))
 
-    for i in range(1, passes + 1):
-        step = scratch.save(times(block), f"step{i}")
-        g = _gram(step, "vec", "vec", p)
-        w, u = np.linalg.eigh((g + g.T) / 2)
-        keep = w > w.max() * 1e-14
-        m = np.zeros((p, p))
-        m[:, keep] = u[:, keep] / np.sqrt(w[keep])
-        block = step.select("obs_id", _rotate(F.col("vec"), m).alias("vec"))
-    image = scratch.save(block.join(times(block).withColumnRenamed("vec", "image"), "obs_id"), "image")
-    t, s = _gram(image, "vec", "image", p), _gram(image, "vec", "vec", p)
-    w, u = np.linalg.eigh((s + s.T) / 2)
-    good = w > 1e-8
-    white = u[:, good] / np.sqrt(w[good])
-    values, z = np.linalg.eigh(white.T @ ((t + t.T) / 2) @ white)
-    pick = np.argsort(-np.abs(values), kind="stable")[:k]
-    pick = pick[np.argsort(-values[pick], kind="stable")]
-    values = values[pick]
-    scale = np.sqrt(np.maximum(values, 0)) if weighted else np.ones(len(pick))
-    return values, block.select("obs_id", _rotate(F.col("vec"), white @ z[:, pick] * scale).alias("vec"))
-
-
-def multiview_spectral(layers: dict[str, DataFrame], k: int = 25, *, layer_weights: dict[str, float] | None = None, sample: DataFrame | None = None, seed: int = 0, skip_idf: bool = False, passes: int = PASSES) -> tuple[np.ndarray, DataFrame]:
+    values, vectors, m = _eigenpairs(times, block, "obs_id", p, k, tol, passes, scratch)
+    scale = np.sqrt(np.maximum(values, 0)) if weighted else np.ones(len(values))
+    return values, vectors.select("obs_id", _rotate(F.col("vec"), m * scale).alias("vec"))
+
+
+def multiview_spectral(layers: dict[str, DataFrame], k: int = 25, *, layer_weights: dict[str, float] | None = None, sample: DataFrame | None = None, seed: int = 0, skip_idf: bool = False, passes: int = PASSES, tol: float = TOLERANCE) -> tuple[np.ndarray, DataFrame]:
     """Spectral embedding of several layers side by side, each scaled by sqrt(weight / sum of weights)."""
     given = layer_weights or {}
     x = {}
@@ -158,7 +185,7 @@ def multiview_spectral(layers: dict[str, DataFrame], k: int = 25, *, layer_weigh
     total = sum(raw.values())
     scaled = {name: coo.withColumn("value", F.col("value") * float(np.sqrt(raw[name] / total))) for name, coo in x.items()}
     scratch = Scratch(next(iter(layers.values())).sparkSession, "multiview")
-    return _spectral_solve(scratch.save(concat_features(scaled), "x"), k, True, seed, passes, scratch)
+    return _spectral_solve(scratch.save(concat_features(scaled), "x"), k, True, seed, passes, tol, scratch)
 
 
 def pca(embedding: DataFrame, k: int = 30, *, vec: str = "vec") -> tuple[np.ndarray, DataFrame]:
@@ -206,9 +233,9 @@ def diffusion_transitions(graph: DataFrame) -> DataFrame:
     return k.join(z.select(F.col("dst").alias("src"), F.col("z").alias("zs")), "src").join(z.withColumnRenamed("z", "zd"), "dst").select("src", "dst", (F.col("weight") / F.col("zs") / F.col("zd")).alias("weight"))
 
 
-def diffusion_map(graph: DataFrame, n_comps: int = 15, *, seed: int = 0, passes: int = PASSES) -> tuple[np.ndarray, DataFrame]:
+def diffusion_map(graph: DataFrame, n_comps: int = 15, *, seed: int = 0, passes: int = PASSES, tol: float = TOLERANCE) -> tuple[np.ndarray, DataFrame]:
     nodes = graph.select(F.col("src").alias("id")).union(graph.select("dst")).distinct()
-    return top_eigenpairs(diffusion_transitions(graph), nodes, n_comps, seed=seed, passes=passes)
+    return top_eigenpairs(diffusion_transitions(graph), nodes, n_comps, seed=seed, passes=passes, tol=tol)
 
 
 def diffusion_pseudotime(basis: DataFrame, eigenvalues: list[float], root: str) -> DataFrame:

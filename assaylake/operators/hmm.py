@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.plans.scratch import Scratch
+
 TINY = 1e-8
 
 
@@ -85,6 +87,29 @@ def forward_backward(hmm: Hmm, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
     return alpha * beta, xi, float(np.log(c).sum() + top.sum())
 
 
+def _expectations(hmm: Hmm, x: np.ndarray) -> np.ndarray:
+    """Summed statistics of sequences of one length (n, t, modalities): log-likelihood, starts, transitions, weights, sums, sums of logarithms."""
+    n, t, m = x.shape
+    k = len(hmm.start)
+    logd = hmm.log_density(x.reshape(n * t, m)).reshape(n, t, k)
+    top = logd.max(2, keepdims=True)
+    e = np.exp(logd - top)
+    alpha, beta, c = np.empty((n, t, k)), np.ones((n, t, k)), np.empty((n, t))
+    for i in range(t):
+        a = (hmm.start if i == 0 else alpha[:, i - 1] @ hmm.trans) * e[:, i]
+        c[:, i] = np.maximum(a.sum(1), 1e-300)
+        alpha[:, i] = a / c[:, i, None]
+    xi = np.zeros((k, k))
+    for i in range(t - 2, -1, -1):
+        ahead = e[:, i + 1] * beta[:, i + 1] / c[:, i + 1, None]
+        beta[:, i] = ahead @ hmm.trans.T
+        xi += alpha[:, i].T @ ahead * hmm.trans
+    g = alpha * beta
+    seen, y = ~np.isnan(x), np.maximum(np.nan_to_num(x), TINY)
+    weighted = lambda z: np.einsum("ntk,ntm->km", g, z).ravel()
+    return np.concatenate([[np.log(c).sum() + top.sum()], g[:, 0].sum(0), xi.ravel(), weighted(seen.astype(float)), weighted(np.where(seen, y, 0.0)), weighted(np.where(seen, np.log(y), 0.0))])
+
+
 def _digamma(x: np.ndarray) -> np.ndarray:
     x, out = np.array(x, float), np.zeros_like(np.array(x, float))
     while (x < 6).any():
@@ -124,20 +149,23 @@ def fit_hmm(tensor: DataFrame, hmm: Hmm, *, max_iter: int = 50, tol: float = 1.0
     """Baum-Welch: sequences stay in their tasks, which return summed statistics; the driver sees k x k numbers.
 
     ``tensor`` is (gene, cell_type, t, modality, value); a sequence runs along t.
+    The sequences are written once to the shared folder.
     """
     m, k, history = hmm.shape.shape[1], len(hmm.start), []
+    rows = tensor.groupBy("gene", "cell_type").agg((F.max("t") + 1).cast("int").alias("n"), F.collect_list((F.col("t") * m + F.col("modality")).cast("int")).alias("at"), F.collect_list(F.coalesce(F.col("value").cast("double"), F.lit(float("nan")))).alias("v"))
+    sequences = Scratch(tensor.sparkSession, "hmm").save(rows.select("n", "at", "v"), "sequences")
     for _ in range(max_iter):
         now = hmm
 
-        def e_step(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = _sequences(pdf, m)
-            g, xi, ll = forward_backward(now, x)
-            seen, y = ~np.isnan(x), np.maximum(np.nan_to_num(x), TINY)
-            w = g.T @ seen.astype(float)
-            parts = [np.array([ll]), g[0], xi.ravel(), w.ravel(), (g.T @ np.where(seen, y, 0.0)).ravel(), (g.T @ np.where(seen, np.log(y), 0.0)).ravel()]
-            return pd.DataFrame({"s": [np.concatenate(parts)]})
+        def e_step(frames):
+            for f in frames:
+                for n, part in f.groupby("n"):
+                    x = np.full((len(part), n * m), np.nan)
+                    for row, at, v in zip(x, part["at"], part["v"]):
+                        row[at] = v
+                    yield pd.DataFrame({"s": [_expectations(now, x.reshape(len(part), n, m))]})
 
-        stats = tensor.groupBy("gene", "cell_type").applyInPandas(e_step, "s array<double>")
+        stats = sequences.mapInPandas(e_step, "s array<double>")
         summed = stats.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
         v = np.array([r.x for r in summed])
         if not len(v):

@@ -356,7 +356,7 @@ def leiden(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def label_propagation(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
-    return C.label_propagation(p.select("id"), G.fuzzy_simplicial_set(G.knn_exact(p, p, 10)), rounds=5)
+    return C.label_propagation(p.select("id"), G.fuzzy_simplicial_set(G.knn_exact(p, p, 10)))
 
 
 @query()
@@ -403,13 +403,13 @@ def pca(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def spectral(spark: SparkSession, d: str) -> DataFrame:
-    return E.spectral(_positive_brands(spark, d), 4, skip_idf=True, passes=4)[1]
+    return E.spectral(_positive_brands(spark, d), 4, skip_idf=True)[1]
 
 
 @query()
 def multiview_spectral(spark: SparkSession, d: str) -> DataFrame:
     a = supplier_brands(spark, d)
-    return E.multiview_spectral({"qty": a.layer("qty"), "price": a.layer("price")}, 3, skip_idf=True, passes=3)[1]
+    return E.multiview_spectral({"qty": a.layer("qty"), "price": a.layer("price")}, 3, skip_idf=True)[1]
 
 
 def _positive_brands(spark: SparkSession, d: str) -> DataFrame:
@@ -428,7 +428,7 @@ def diffusion_transitions_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def diffusion_map(spark: SparkSession, d: str) -> DataFrame:
-    return E.diffusion_map(_neighbour_graph(spark, d), 4, passes=4)[1]
+    return E.diffusion_map(_neighbour_graph(spark, d), 4)[1]
 
 
 _EIG = (0.99995, 0.9, 0.5, 0.25)
@@ -463,7 +463,7 @@ def landscape_coarse_all(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def umap_layout(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
-    return E.umap(G.fuzzy_simplicial_set(G.knn_exact(p, p, 10)), p.select("id", F.slice("vec", 1, 2).alias("vec")), epochs=20)
+    return E.umap(G.fuzzy_simplicial_set(G.knn_exact(p, p, 10)), p.select("id", F.slice("vec", 1, 2).alias("vec")))
 
 
 @query(sql_round("""with g as (select o_orderstatus as k, min(o_totalprice) as lo, case when max(o_totalprice) - min(o_totalprice) < 4e-5 then 1 else max(o_totalprice) - min(o_totalprice) end as span from orders group by 1), a as (select min(o_totalprice) as lo, max(o_totalprice) as hi from orders)
@@ -613,13 +613,13 @@ def go_enrichment(spark: SparkSession, d: str) -> DataFrame:
 def _tensor(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("value > 0")
     day = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - e.agg(F.unix_micros(F.min("ts").cast("timestamp"))).scalar()) / 86_400_000_000).cast("int")
-    return e.groupBy(F.col("event_type").alias("gene"), F.pmod("user_id", F.lit(4)).cast("int").alias("cell_type"), day.alias("t")).agg(F.avg("value").alias("a"), F.count(F.lit(1)).cast("double").alias("b")).select("gene", "cell_type", "t", F.inline(F.array(F.struct(F.lit(0).alias("modality"), F.col("a").alias("value")), F.struct(F.lit(1).alias("modality"), F.col("b").alias("value")))))
+    return e.groupBy(F.col("event_type").alias("gene"), F.col("user_id").alias("cell_type"), day.alias("t")).agg(F.avg("value").alias("a"), F.count(F.lit(1)).cast("double").alias("b")).select("gene", "cell_type", "t", F.inline(F.array(F.struct(F.lit(0).alias("modality"), F.col("a").alias("value")), F.struct(F.lit(1).alias("modality"), F.col("b").alias("value")))))
 
 
 @query()
 def hmm_posteriors(spark: SparkSession, d: str) -> DataFrame:
     tensor = _tensor(spark, d)
-    model, _ = H.fit_hmm(tensor, H.create_hmm(2, ["gamma", "exponential"], seed=1), max_iter=3)
+    model, _ = H.fit_hmm(tensor, H.create_hmm(2, ["gamma", "exponential"], seed=1))
     return H.posteriors(tensor, model)
 
 

@@ -3,8 +3,11 @@
 import numpy as np
 import pytest
 
+from assaylake.operators import embedding as E
+from assaylake.operators import hmm as H
 from assaylake.queries import analysis
 from assaylake.queries._adapt import points, supplier_brands, supplier_parts
+from assaylake.sources.tables import table
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +58,33 @@ def test_rank_sums_of_every_part(spark, data):
         col = np.array([values[v].get(o, 0.0) for o in cells])
         rank = np.array([(col < c).sum() + ((col == c).sum() + 1) / 2 for c in col])
         assert total == rank[[x == g for x in cells.values()]].sum()
+
+
+def test_eigenvectors_converge(spark, data, linked):
+    ids, _, w = linked
+    q = w / w.sum(0)[:, None] / w.sum(0)
+    t = q / np.sqrt(q.sum(0))[:, None] / np.sqrt(q.sum(0))
+    true = np.linalg.eigvalsh(t)
+    true = np.sort(true[np.argsort(-abs(true))[:4]])[::-1]
+    graph = analysis._neighbour_graph(spark, data)
+    values, vectors = E.diffusion_map(graph, 4)
+    v = np.array([r.vec for r in vectors.orderBy("id").collect()])
+    assert np.allclose(values, true, atol=1e-9) and (np.linalg.norm(t @ v - v * values, axis=0) < 2e-6 * abs(values)).all()
+    with pytest.raises(RuntimeError):
+        E.diffusion_map(graph, 4, passes=2)
+
+
+def test_posteriors_of_every_user(spark, data):
+    events = table(spark, data, "events").where("value > 0")
+    got = analysis.QUERIES["hmm_posteriors"](spark, data).select("gene", "cell_type").distinct()
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in events.select("event_type", "user_id").distinct().collect()}
+
+
+def test_expectations_of_many_sequences():
+    rng = np.random.default_rng(0)
+    model, x = H.create_hmm(2, ["gamma", "exponential"], seed=1), rng.exponential(1, (7, 6, 2))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    one = [H.forward_backward(model, s) for s in x]
+    got = H._expectations(model, x)
+    assert np.isclose(got[0], sum(ll for _, _, ll in one)) and np.allclose(got[1:3], sum(p[0] for p, _, _ in one)) and np.allclose(got[3:7], sum(xi for _, xi, _ in one).ravel())
+    assert np.allclose(got[7:11], sum(p.T @ ~np.isnan(s) for (p, _, _), s in zip(one, x)).ravel())
