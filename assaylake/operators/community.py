@@ -38,6 +38,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int
         if state == last:
             break
         last = state
+    else:
+        raise RuntimeError(f"the components still change after {max_rounds - 1} rounds")
     roots = links.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(roots, nodes["id"] == roots["u"], "left").select("id", F.coalesce("component", "id").alias("component"))
 

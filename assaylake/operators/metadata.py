@@ -82,6 +82,8 @@ def filter_assay(
         if not iterate or size == kept:
             break
         kept = size
+    else:
+        raise RuntimeError(f"the filter still drops rows after {max_rounds} rounds")
     if purge:
         cut = {n: c.join(obs, "obs_id", "left_semi").join(var, "var_id", "left_semi") for n, c in assay.layers.items()}
         return replace(assay, obs=assay.obs.join(obs, "obs_id", "left_semi"), var=assay.var.join(var, "var_id", "left_semi"), layers=cut)

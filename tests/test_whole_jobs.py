@@ -3,8 +3,11 @@
 import numpy as np
 import pytest
 
+from assaylake.model import Assay
+from assaylake.operators import community as C
 from assaylake.operators import embedding as E
 from assaylake.operators import hmm as H
+from assaylake.operators import metadata as M
 from assaylake.queries import analysis
 from assaylake.queries._adapt import points, supplier_brands, supplier_parts
 from assaylake.sources.tables import table
@@ -88,3 +91,15 @@ def test_expectations_of_many_sequences():
     got = H._expectations(model, x)
     assert np.isclose(got[0], sum(ll for _, _, ll in one)) and np.allclose(got[1:3], sum(p[0] for p, _, _ in one)) and np.allclose(got[3:7], sum(xi for _, xi, _ in one).ravel())
     assert np.allclose(got[7:11], sum(p.T @ ~np.isnan(s) for (p, _, _), s in zip(one, x)).ravel())
+
+
+def test_unfinished_rounds_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        C.connected_components(spark.range(41), chain, max_rounds=3)
+    # a staircase: every round peels one cell and one feature
+    cells = [(f"o{i}", f"v{j}", 1.0) for i in range(8) for j in (i, i + 1)]
+    coo = spark.createDataFrame(cells, "obs_id string, var_id string, value double")
+    a = Assay(coo.select("obs_id").distinct(), coo.select("var_id").distinct(), {"x": coo})
+    with pytest.raises(RuntimeError):
+        M.filter_assay(a, ["x"], [1], [1], max_rounds=2)
