@@ -16,7 +16,7 @@ _LINE = "^" + r"\t".join([_FIELD] * len(FIELDS)) + r"\z"
 _DIGITS = r"^[0-9]+\z"
 _POSITIVE = r"^[0-9]*[1-9][0-9]*\z"
 #: A field that breaks the quoting rule: any double quote but one pair around the whole field.
-_BAD_QUOTES = r'^(?!"[^"]*"\z).*"'
+_BAD_QUOTES = r'^(?!"[^"]*"\z)[^"]*"'
 
 
 def _without_cr(line: Column) -> Column:
@@ -89,9 +89,10 @@ def failed_rows(lines: DataFrame, genome: DataFrame, *, offset: str = "line_id",
     known by its offset together with its text, both compared null-safe, so a
     null or repeated offset neither hides a failure nor makes a valid row fail;
     repeated lines come out as often as they occur. An empty table gives no rows;
-    further columns are ignored.
+    further columns are ignored. A record that fails without a reason is an error.
     """
     raw = lines.select(offset, line)
     loaded = load_strict(raw, genome, line=line).select(F.col(offset).alias("_o"), F.xxhash64(line).alias("_h")).distinct()
     rest = raw.join(loaded, F.col(offset).eqNullSafe(F.col("_o")) & (F.xxhash64(line) == F.col("_h")), "left_anti")
-    return diagnose(rest, genome, line=line)
+    found = diagnose(rest, genome, line=line)
+    return found.withColumn("reason", F.coalesce("reason", F.raise_error(F.lit("a record was not loaded and has no reason"))))

@@ -8,6 +8,7 @@ from assaylake.operators import community as C
 from assaylake.operators import embedding as E
 from assaylake.operators import hmm as H
 from assaylake.operators import metadata as M
+from assaylake.operators.parsing import failed_rows
 from assaylake.queries import analysis
 from assaylake.queries._adapt import points, supplier_brands, supplier_parts
 from assaylake.sources.tables import table
@@ -103,3 +104,16 @@ def test_unfinished_rounds_are_an_error(spark):
     a = Assay(coo.select("obs_id").distinct(), coo.select("var_id").distinct(), {"x": coo})
     with pytest.raises(RuntimeError):
         M.filter_assay(a, ["x"], [1], [1], max_rounds=2)
+
+
+@pytest.mark.parametrize("terminator", ["\r", "\n", "\x85", "\u2028"])
+def test_quotes_behind_a_line_terminator(spark, terminator):
+    lines = spark.createDataFrame([(1, f'chr1\t5\t9\ta{terminator}b"c\t1'), (2, f"chr1\t5\t9\ta{terminator}b\t1")], "line_id long, line string")
+    genome = spark.createDataFrame([("chr1", 100)], "chr string, length long")
+    assert [(r.line_id, r.reason) for r in failed_rows(lines, genome).collect()] == [(1, "quoting")]
+
+
+def test_a_failure_without_a_reason_is_an_error(spark):
+    lines = spark.createDataFrame([(1, "chr1\t5\t9\ta\t1")], "line_id long, line string")
+    with pytest.raises(Exception, match="no reason"):
+        failed_rows(lines, spark.createDataFrame([("chr1", None)], "chr string, length long")).collect()
