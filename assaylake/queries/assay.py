@@ -462,6 +462,14 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_suppkey").cast("string").alias("name"), F.col("l_partkey").cast("string").alias("binname"))
 
 
+@query("select distinct cast(l_suppkey as varchar) as name, cast(l_partkey as varchar) as binname from lineitem where l_suppkey in (select s_suppkey from supplier) and l_partkey in (select p_partkey from part)")
+def regulatory_matrix_all(spark: SparkSession, d: str) -> DataFrame:
+    """Links from every line item, with all suppliers and parts."""
+    a = supplier_parts(spark, d)
+    links = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("name"), F.col("l_partkey").cast("string").alias("binname"))
+    return R.regulatory_matrix(links, a.obs.select(F.col("obs_id").alias("var_id")), a.var)
+
+
 _BRANDMAT = f"{BASE}, r as (select brand as name, var_id from v)"
 
 

@@ -9,7 +9,7 @@ from assaylake.operators import embedding as E
 from assaylake.operators import hmm as H
 from assaylake.operators import metadata as M
 from assaylake.operators.parsing import failed_rows
-from assaylake.queries import analysis
+from assaylake.queries import analysis, assay
 from assaylake.queries._adapt import points, supplier_brands, supplier_parts
 from assaylake.sources.tables import table
 
@@ -117,3 +117,8 @@ def test_a_failure_without_a_reason_is_an_error(spark):
     lines = spark.createDataFrame([(1, "chr1\t5\t9\ta\t1")], "line_id long, line string")
     with pytest.raises(Exception, match="no reason"):
         failed_rows(lines, spark.createDataFrame([("chr1", None)], "chr string, length long")).collect()
+
+
+def test_links_of_every_line_item(spark, data):
+    want = {(str(r.l_suppkey), str(r.l_partkey)) for r in table(spark, data, "lineitem").select("l_suppkey", "l_partkey").collect()}
+    assert {(r.name, r.binname) for r in assay.QUERIES["regulatory_matrix_all"](spark, data).collect()} == want
