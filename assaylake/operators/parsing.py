@@ -35,9 +35,9 @@ def _value(digits: Column) -> Column:
 
 
 def _genome(genome: DataFrame) -> DataFrame:
-    """Every accepted spelling of a chromosome: (spelling, chr, length)."""
+    """Every accepted spelling of a chromosome: (spelling, chr, length); one without a length isn't known."""
     short = F.when(F.col("chr").startswith(CHROM_PREFIX), F.expr(f"substring(chr, {len(CHROM_PREFIX) + 1})"))
-    names = genome.where(F.col("chr").isNotNull()).select("chr", "length", F.explode(F.array("chr", short)).alias("spelling"))
+    names = genome.where(F.col("chr").isNotNull() & F.col("length").isNotNull()).select("chr", "length", F.explode(F.array("chr", short)).alias("spelling"))
     return names.where(F.col("spelling").isNotNull()).groupBy("spelling").agg(F.min_by("chr", F.struct((F.col("chr") != F.col("spelling")), "chr")).alias("chr"), F.max("length").alias("length"))
 
 
@@ -89,7 +89,8 @@ def failed_rows(lines: DataFrame, genome: DataFrame, *, offset: str = "line_id",
     known by its offset together with its text, both compared null-safe, so a
     null or repeated offset neither hides a failure nor makes a valid row fail;
     repeated lines come out as often as they occur. An empty table gives no rows;
-    further columns are ignored. A record that fails without a reason is an error.
+    further columns are ignored. Valid and failed rows together are all records: a
+    record that isn't loaded and has no reason would be an error, never a lost row.
     """
     raw = lines.select(offset, line)
     loaded = load_strict(raw, genome, line=line).select(F.col(offset).alias("_o"), F.xxhash64(line).alias("_h")).distinct()

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Blocks of keys on each side of a table of pairs.
+PAIR_BLOCKS = 8
+
 
 def histogram(df: DataFrame, value: str, bins: int, *, by: Sequence[str] = ()) -> DataFrame:
     """(by, bin, n): bins of equal width over the overall range; the last holds its right end."""
@@ -76,9 +79,14 @@ def dynamics_calls(df: DataFrame, group: str, *, res: str = "res", p: str = "pva
 
 
 def index_pairs(df: DataFrame, key: str) -> DataFrame:
-    """(a, b) of all keys a < b of a small list; refuses more than 10,000 keys."""
-    keys = [r[0] for r in df.select(key).distinct().orderBy(key).limit(10_001).collect()]
-    if len(keys) > 10_000:
-        raise ValueError("all pairs are meant for short lists")
-    kind = df.schema[key].dataType.simpleString()
-    return df.sparkSession.createDataFrame([(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]], f"a {kind}, b {kind}")
+    """(a, b) of all keys a < b of a list: every pair is a row of the result, so it is meant for short lists.
+
+    Each key is sent to the cells of its row (or column) in a square of blocks,
+    which makes the pairing an equi-join of cells of like size.
+    """
+    keys = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct()
+    blocks = F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1))
+    mine = F.pmod(F.xxhash64("k"), F.lit(PAIR_BLOCKS)).cast("int")
+    a = keys.select(F.col("k").alias("a"), mine.alias("i"), F.explode(blocks).alias("j"))
+    b = keys.select(F.col("k").alias("b"), mine.alias("j"), F.explode(blocks).alias("i"))
+    return a.join(b, ["i", "j"]).where("a < b").select("a", "b")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if a count has shown it to hold at most so many keys
-#: (about 80 MB of short strings at the most); beyond, both sides are shuffled.
+#: A side is broadcast only if a count has shown it to hold at most so many keys;
+#: beyond, both sides are shuffled.
 BROADCAST_KEYS = 1_000_000
 SALTS = 16
+#: A key is hot from this share of the rows on, so there are never more than its inverse.
+HOT_SHARE = 1e-3
 
 
 def semi_join_skewed(df: DataFrame, keys: DataFrame, on: str, *, spread: Column, limit: int = BROADCAST_KEYS, salts: int = SALTS) -> DataFrame:
@@ -25,3 +29,21 @@ def semi_join_skewed(df: DataFrame, keys: DataFrame, on: str, *, spread: Column,
     salted = distinct.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     return rows.join(salted, [on, "_salt"], "left_semi").drop("_salt")
+
+
+def hot_keys(counts: DataFrame, on: Sequence[str], n: str, total: int, *, share: float = HOT_SHARE) -> DataFrame:
+    """The keys of a table of counts (one row a key) that hold at least ``share`` of ``total`` rows; at most 1 / share."""
+    return counts.where(F.col(n) >= F.lit(max(1.0, share * total))).select(*on).limit(int(1 / share) + 1)
+
+
+def join_hot(df: DataFrame, table: DataFrame, on: Sequence[str], hot: DataFrame, *, spread: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``df`` joined with a ``table`` of one or few rows a key, hot keys divided over ``salts`` tasks.
+
+    ``hot`` comes from :func:`hot_keys` and is small by construction, so it is
+    broadcast. Only hot keys are salted; ``how`` is inner, left or left_semi.
+    """
+    mark = F.broadcast(hot.select(*on).withColumn("_hot", F.lit(True)))
+    rows = df.join(mark, list(on), "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    keyed = table.join(mark, list(on), "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    return rows.join(keyed, [*on, "_salt"], how).drop("_salt")

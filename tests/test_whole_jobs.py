@@ -1,14 +1,19 @@
 """Queries work on everything their tables hold, not on a part of a fixed size."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assaylake.model import Assay
 from assaylake.operators import community as C
 from assaylake.operators import embedding as E
 from assaylake.operators import hmm as H
 from assaylake.operators import metadata as M
-from assaylake.operators.parsing import failed_rows
+from assaylake.operators.parsing import failed_rows, valid_rows
+from assaylake.plans.joins import hot_keys, join_hot
+from assaylake.plans.scratch import Scratch, release, shared_folder
 from assaylake.queries import analysis, assay
 from assaylake.queries._adapt import points, supplier_brands, supplier_parts
 from assaylake.sources.tables import table
@@ -113,12 +118,45 @@ def test_quotes_behind_a_line_terminator(spark, terminator):
     assert [(r.line_id, r.reason) for r in failed_rows(lines, genome).collect()] == [(1, "quoting")]
 
 
-def test_a_failure_without_a_reason_is_an_error(spark):
-    lines = spark.createDataFrame([(1, "chr1\t5\t9\ta\t1")], "line_id long, line string")
-    with pytest.raises(Exception, match="no reason"):
-        failed_rows(lines, spark.createDataFrame([("chr1", None)], "chr string, length long")).collect()
+def test_a_chromosome_without_a_length_is_unknown(spark):
+    lines = spark.createDataFrame([(1, "chr1\t5\t9\ta\t1"), (2, "chr2\t5\t9\ta\t1")], "line_id long, line string")
+    genome = spark.createDataFrame([("chr1", None), ("chr2", 50)], "chr string, length long")
+    assert [(r.line_id, r.reason) for r in failed_rows(lines, genome).collect()] == [(1, "chr")]
+    assert [r.line_id for r in valid_rows(lines, genome).collect()] == [2]
 
 
 def test_links_of_every_line_item(spark, data):
     want = {(str(r.l_suppkey), str(r.l_partkey)) for r in table(spark, data, "lineitem").select("l_suppkey", "l_partkey").collect()}
     assert {(r.name, r.binname) for r in assay.QUERIES["regulatory_matrix_all"](spark, data).collect()} == want
+
+
+def test_scratch_tables(spark, tmp_path):
+    a, b = Scratch(spark, "t"), Scratch(spark, "t")
+    kept = a.save(spark.range(5), "x")
+    b.save(spark.range(5), "y")
+    b.drop("y")
+    assert kept.count() == 5
+    assert release(spark) >= 2 and not Path(a.root.removeprefix("file:")).exists() and not Path(b.root.removeprefix("file:")).exists()
+
+
+def test_a_cluster_must_name_its_folder():
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "local-cluster[2,1,1024]", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session())
+
+
+def test_join_with_hot_keys(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 50}") for i in range(600)] + [(999, None)], "i int, k string")
+    side = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(40)], "k string, v int")
+    hot = hot_keys(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], "n", 600, share=0.3)
+    assert [r.k for r in hot.collect()] == ["hot"]
+    for how in ("inner", "left", "left_semi"):
+        got = join_hot(rows, side, ["k"], hot, spread=F.col("i"), how=how)
+        want = rows.join(side, "k", how)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
