@@ -1,8 +1,8 @@
 import numpy as np
 import pytest
 
+from assaylake.llm import clusters as L
 from assaylake.llm.clusters import Clustering, average_linkage
-from assaylake.plans.scratch import Scratch
 
 
 def cliques(rows, eps, least=3):
@@ -34,7 +34,7 @@ def test_isolated_cliques(spark, seed):
     rows = scene(seed)
     c = Clustering(table(spark, rows), 0.05, 2)
     assert {tuple(r) for r in c.isolated_cliques().collect()} == cliques(rows, 0.05)
-    members = {r.id: r.cluster for r in c.members().collect()}
+    members = {r.id: (r.grp, r.c0, r.c1) for r in c.members().collect()}
     assert set(members) == {i for i, g, _ in rows if g is not None}
     info = c.describe(2).collect()
     assert sum(r["size"] for r in info) == len(members)
@@ -56,23 +56,70 @@ def test_a_big_isolated_clique(spark):
     assert {tuple(x) for x in c.isolated_cliques().collect()} == cliques(rows, 0.05) and c.isolated_cliques().count() == 899
 
 
-def test_linkage_equals_one_merge_at_a_time(spark):
-    rng = np.random.default_rng(2)
-    n = 24
-    w = {(f"n{i:02d}", f"n{j:02d}"): round(float(rng.uniform(0, 1)), 3) for i in range(n) for j in range(i + 1, n) if rng.uniform() < 0.35}
-    edges = spark.createDataFrame([(a, b, s, 1, 1) for (a, b), s in w.items()], "a string, b string, s double, na long, nb long")
-    label = {f"n{i:02d}": f"n{i:02d}" for i in range(n)}
-    for merge in average_linkage(edges, Scratch(spark, "t"), threshold=0.3):
-        step = {r.old: r.new for r in merge.collect()}
-        label = {k: step.get(v, v) for k, v in label.items()}
-    groups = {k: {k} for k in label}
-    while True:
-        pairs = [(-sum(w.get((min(x, y), max(x, y)), 0) for x in groups[a] for y in groups[b]) / len(groups[a]) / len(groups[b]), a, b) for a in groups for b in groups if a < b]
-        s, a, b = min(pairs)
-        if -s < 0.3:
+def one_at_a_time(w, sizes, threshold):
+    """Clusters by merging the single best pair again and again."""
+    groups = {k: {k} for k in sizes}
+    size = lambda g: sum(sizes[x] for x in g)
+    while len(groups) > 1:
+        s, a, b = min((-sum(w.get((min(x, y), max(x, y)), 0.0) for x in groups[a] for y in groups[b]) / size(groups[a]) / size(groups[b]), a, b) for a in groups for b in groups if a < b)
+        if -s < threshold:
             break
         groups[a] |= groups.pop(b)
-    assert {frozenset(k for k, v in label.items() if v == c) for c in set(label.values())} == {frozenset(g) for g in groups.values()}
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_linkage_equals_one_merge_at_a_time():
+    rng = np.random.default_rng(2)
+    n = 24
+    w = {(i, j): round(float(rng.uniform(0, 1)), 3) for i in range(n) for j in range(i + 1, n) if rng.uniform() < 0.35}
+    u, v, s = (np.array(x) for x in zip(*[(i, j, x) for (i, j), x in w.items()]))
+    root, left, _, _ = average_linkage(u, v, s, np.ones(n), np.ones(n, bool), np.zeros((n, 2)), 0.3)
+    assert not len(left)
+    assert {frozenset(np.flatnonzero(root == r).tolist()) for r in set(root)} == one_at_a_time(w, dict.fromkeys(range(n), 1), 0.3)
+
+
+@pytest.mark.parametrize("block", [3.0, 12.0])
+def test_blocks_change_nothing(spark, monkeypatch, block):
+    """Clusters that lie across the borders of blocks are those of one merge at a time."""
+    monkeypatch.setattr(L, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    rows = [(f"q{i:03d}", int(i % 2), tuple(rng.uniform(0, 0.45, 2))) for i in range(150)]
+    c = Clustering(table(spark, rows), 0.05, 2)
+    side, reach2 = c.space.side, (L.REACH * 0.05) ** 2
+    tiles = {}
+    for i, g, x in rows:
+        tiles.setdefault((g, *(int(np.floor(a / side)) for a in x)), []).append((i, np.array(x)))
+    w = {}
+    for a, p in tiles.items():
+        for b, q in tiles.items():
+            if a < b and a[0] == b[0]:
+                s = sum(1 - ((x - y) ** 2).sum() / reach2 for _, x in p for _, y in q)
+                if s > 0:
+                    w[a, b] = s
+    want = {frozenset(i for t in g for i, _ in tiles[t]) for g in one_at_a_time(w, {t: len(p) for t, p in tiles.items()}, 0.5)}
+    got = {}
+    for r in c.members().collect():
+        got.setdefault((r.grp, r.c0, r.c1), set()).add(r.id)
+    assert {frozenset(g) for g in got.values()} == want
+
+
+def test_crowded_tiles_in_doubt(spark):
+    """Two crowded tiles just within, or just beyond, the radius: decided without pairs of all their points."""
+    rng = np.random.default_rng(3)
+    y = rng.uniform(0, 0.004, 400)
+    near = [(f"a{i:03d}", 0, (0.0, v)) for i, v in enumerate(y)] + [(f"b{i:03d}", 0, (0.0497, v)) for i, v in enumerate(y)]
+    apart = [(f"c{i:03d}", 1, (0.0, v)) for i, v in enumerate(y)] + [(f"d{i:03d}", 1, (0.0502, v)) for i, v in enumerate(y)]
+    rows = near + apart
+    assert {tuple(r) for r in Clustering(table(spark, rows), 0.05, 2).isolated_cliques().collect()} == cliques(rows, 0.05)
+
+
+@pytest.mark.parametrize("dim", [1, 3])
+def test_other_dimensions(spark, dim):
+    rng = np.random.default_rng(dim)
+    rows = [(f"e{i:03d}", 0, tuple(rng.uniform(0, 0.6 if dim == 3 else 6, dim))) for i in range(120)]
+    assert {tuple(r) for r in Clustering(table(spark, rows), 0.05 if dim == 1 else 0.12, dim).isolated_cliques().collect()} == cliques(rows, 0.05 if dim == 1 else 0.12)
+    with pytest.raises(ValueError):
+        Clustering(table(spark, rows), 0.05, 4)
 
 
 def test_edges(spark):
