@@ -384,7 +384,7 @@ class Clustering:
         for merge in merges:
             step = merge.select("grp", *[F.col(f"t{i}").alias(f"c{i}") for i in range(d)], *s.names("r"))
             out = out.join(step, ["grp", *s.names("c")], "left").select(*facts, *[F.coalesce(f"r{i}", f"c{i}").alias(f"c{i}") for i in range(d)])
-        return scratch.save(out, "nodes")
+        return scratch.save(out, "nodes") if merges else out
 
     def _joined_edges(self, left: DataFrame, moves: DataFrame) -> DataFrame:
         """Edges (grp, a*, b*, s, na, nb, x*, y*) of live clusters, their far ends brought up to date and equal ones summed.
