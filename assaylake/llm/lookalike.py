@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -12,8 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from assaylake.plans.joins import hot_keys, join_hot, semi_join_skewed
 from assaylake.plans.scratch import Scratch
 
+#: Digests are broadcast up to so many (some 15 MB); beyond, both sides are shuffled under salts.
+BROADCAST = 100_000
 COLLATION = "UNICODE"  # tertiary strength: accents and case count, ignorable characters don't
 
 # Letters of other scripts (and of the phonetic alphabet) that are drawn like a Latin letter.
@@ -50,6 +54,10 @@ def look_alike_map() -> dict[str, str]:
         elif tag in ("<wide>", "<narrow>"):
             plain = chr(int(rest, 16))
             out[c] = out.get(plain, plain)
+        elif tag == "<font>" and kind[0] == "L":
+            # styled letters (bold, italic, script, double-struck, ...) are drawn like the plain ones, Greek ones like theirs
+            plain = unicodedata.normalize("NFKC", c)
+            out[c] = letter.get(plain, plain)
         elif tag == "<compat>" and len(rest.split()) > 1 and kind in ("Ll", "Lu", "Lt"):
             plain = unicodedata.normalize("NFKC", c)
             if plain.isascii():  # ligatures of Latin letters
@@ -99,38 +107,12 @@ def composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
-def _mapped(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_look", composed(look_alike(F.col("_text"))))
-
-
 def _not_blank(text: Column) -> Column:
     """Whether anything but spaces, line ends and unseen characters is there; looks no further than the first."""
     unseen = [c for c, t in look_alike_map().items() if t in ("", " ")]
     return text.rlike(f"[^\\s\\x{{85}}\\x{{2028}}\\x{{2029}}{_char_class(unseen)}]")
 
 
-def canonical_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, class_id, canonical): every text in the one spelling of its class.
-
-    Texts that look the same form a class: their look-alike-mapped values are
-    equal under the accent-sensitive Unicode collation. Its canonical member is
-    the one with the fewest characters outside ASCII, among these the shortest,
-    among these the first in byte order, so it is certain at any order of rows.
-    A null text stays null with a null class; blank texts are a class like any
-    other. One row for every row of ``df``; repeated rows stay.
-    """
-    rows = _mapped(df, key, text)
-    foreign = F.octet_length("_text") - F.length("_text")
-    classes = (
-        rows.where(F.col("_text").isNotNull())
-        .groupBy(F.collate("_look", COLLATION).alias("_class"))
-        .agg(F.min(F.struct(foreign.alias("f"), F.length("_text").alias("n"), F.col("_text").alias("t"))).alias("_best"))
-        .select("_class", F.col("_best.t").alias("canonical"))
-    )
-    joined = rows.join(classes, F.collate("_look", COLLATION) == F.col("_class"), "left")
-    return joined.select(F.col("_key").alias(key), F.xxhash64("canonical").alias("_h"), "canonical").select(key, F.when(F.col("canonical").isNotNull(), F.col("_h")).alias("class_id"), "canonical")
-
-
 @lru_cache(maxsize=1)
 def coarse_map() -> dict[str, str]:
     """Character -> what is left of it without accents: equal for all texts that look the same, and for some others."""
@@ -163,45 +145,117 @@ def coarse_signature(text: Column) -> Column:
     return F.xxhash64(F.when(F.octet_length(text) == F.length(text), text).otherwise(coarse))
 
 
-def look_alike_members(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(class_id, variant, key) of the texts in classes that hold more than one spelling.
+def _identity(text: Column) -> Column:
+    """What stands for a text: 128 bits, which no two texts share by chance at any size of table."""
+    return F.unhex(F.md5(text))
+
+
+def _near_rows(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(_key, _id) of the rows whose text may look like a different one.
+
+    ``rows`` is (_key, _text). A text's accent-free signature is equal wherever the
+    collation finds equality, so only texts whose signature is shared by a
+    different text go on. Texts are read once for it; digests are shuffled, folded
+    to two a task and signature.
+    """
+    signed = scratch.save(rows.select("_key", _identity(F.col("_text")).alias("_id"), coarse_signature(F.col("_text")).alias("_sig")), "signed")
+    shared = signed.groupBy("_sig").agg(F.min("_id").alias("_a"), F.max("_id").alias("_b")).where("_a <> _b")
+    return scratch.save(semi_join_skewed(signed, shared, "_sig", spread=F.col("_id"), limit=BROADCAST).select("_key", "_id"), "near")
+
+
+def _spellings(rows: DataFrame, near: DataFrame, scratch: Scratch) -> DataFrame:
+    """(_id, canonical, class_id, _n): the spellings of all classes that have more than one, with their canonical member.
+
+    The look-alike-mapped values are grouped under the collation; the canonical
+    member is chosen in each class and joined back to all of its spellings. Copies
+    of a text are folded in every task and go through this once.
+    """
+    counts = scratch.save(near.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    texts = semi_join_skewed(rows.select("_key", "_text", _identity(F.col("_text")).alias("_id")), counts, "_id", spread=F.col("_key"), limit=BROADCAST)
+    once = texts.groupBy("_id").agg(F.first("_text").alias("_text")).withColumn("_look", composed(look_alike(F.col("_text"))))
+    once = scratch.save(once, "texts")
+    foreign = F.octet_length("_text") - F.length("_text")
+    order = F.struct(foreign.alias("f"), F.length("_text").alias("n"), F.col("_text").alias("t"))
+    classes = once.groupBy(F.collate("_look", COLLATION).alias("_class")).agg(F.min(order).alias("_best"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    named = classes.select("_class", F.col("_best.t").alias("canonical"))
+    joined = once.join(named, F.collate("_look", COLLATION) == F.col("_class")).join(counts, "_id")
+    return scratch.save(joined.select("_id", "canonical", _identity(F.col("canonical")).alias("class_id"), "_n"), "spellings")
+
+
+def canonical_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, class_id, canonical): every text in the one spelling of its class.
+
+    Texts that look the same form a class: their look-alike-mapped values are
+    equal under the accent-sensitive Unicode collation. Its canonical member is
+    the one with the fewest characters outside ASCII, among these the shortest,
+    among these the first in byte order, so it is certain at any order of rows.
+    ``class_id`` (16 bytes) is the digest of the canonical member. A null text
+    stays null with a null class; blank texts are classes like any other. One row
+    for every row of ``df``; repeated rows stay.
+
+    A text that is alone in its class is its own canonical member, so only the
+    others are looked up; a text with a third of all rows is divided over tasks.
+    """
+    scratch = Scratch(df.sparkSession, "lookalike")
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    texts = rows.where(F.col("_text").isNotNull())
+    near = _near_rows(texts, scratch)
+    found = _spellings(texts, near, scratch)
+    hot = hot_keys(found, ["_id"], "_n", df.count())
+    named = rows.withColumn("_id", _identity(F.col("_text")))
+    joined = join_hot(named, found.select("_id", "class_id", F.col("canonical").alias("_c")), ["_id"], hot, spread=F.col("_key"), how="left")
+    return joined.select(F.col("_key").alias(key), F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("_c", "_text").alias("canonical"))
+
+
+@dataclass(frozen=True)
+class LookAlikes:
+    """Classes of texts that look the same but are spelled in more than one way.
+
+    ``classes``   (class_id, canonical, n_spellings, n_rows), one row a class
+    ``spellings`` (class_id, variant, representative, n_rows), one row a spelling, known by its smallest key;
+                  the pairs of representatives of a class are all that is needed to link different texts
+    ``members``   (class_id, variant, key), one row for each row of a spelling, repeated rows once
+    """
+
+    classes: DataFrame
+    spellings: DataFrame
+    members: DataFrame
+
 
-    ``variant`` tells the spellings of a class apart; equal texts share it. Null and
-    blank texts (nothing but spaces and unseen characters) are left out.
+def look_alike_classes(df: DataFrame, key: str, text: str) -> LookAlikes:
+    """The classes that hold more than one spelling. Null and blank texts (nothing but
+    spaces and unseen characters), and rows with a null key, are left out; an empty
+    table has no classes.
 
-    Only texts whose accent-free signature is shared by a different text go on to
-    the collation, which decides: the signature is equal wherever the collation
-    finds two texts equal. What is shuffled for it are three numbers a task and
-    signature. The texts that go on, and the result, are written to the shared
-    folder, as both are read more than once.
+    Every class goes through its canonical member: ``class_id`` is that one's
+    digest, and ``variant`` the spelling's own; equal texts share it.
     """
     scratch = Scratch(df.sparkSession, "lookalike")
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(_not_blank(F.col("_text")))
-    signed = rows.select("_key", "_text", F.xxhash64("_text").alias("_h"), coarse_signature(F.col("_text")).alias("_sig"))
-    shared = signed.groupBy("_sig").agg(F.min("_h").alias("_a"), F.max("_h").alias("_b")).where("_a <> _b").select("_sig")
-    near = signed.join(shared, "_sig", "left_semi").select("_key", "_h", composed(look_alike(F.col("_text"))).alias("_look"))
-    near = scratch.save(near, "near")
-    classes = (
-        near.groupBy(F.collate("_look", COLLATION).alias("_class"))
-        .agg(F.min("_h").alias("class_id"), F.max("_h").alias("_other"))
-        .where(F.col("class_id") != F.col("_other"))
-    )
-    members = near.join(classes, F.collate("_look", COLLATION) == F.col("_class")).select("class_id", F.col("_h").alias("variant"), F.col("_key").alias(key))
-    return scratch.save(members, "members")
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_key").isNotNull() & _not_blank(F.col("_text")))
+    near = _near_rows(rows, scratch)
+    found = _spellings(rows, near, scratch)
+    hot = hot_keys(found, ["_id"], "_n", near.count())
+    members = join_hot(near, found.select("_id", "class_id"), ["_id"], hot, spread=F.col("_key"))
+    members = scratch.save(members.select("class_id", F.col("_id").alias("variant"), F.col("_key").alias(key)).distinct(), "members")
+    spellings = members.groupBy("class_id", "variant").agg(F.min(key).alias("representative"), F.count(F.lit(1)).alias("n_rows"))
+    classes = found.groupBy("class_id").agg(F.first("canonical").alias("canonical"), F.count(F.lit(1)).alias("n_spellings"), F.sum("_n").alias("n_rows"))
+    return LookAlikes(classes, spellings, members)
 
 
 def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_a, doc_b) with doc_a < doc_b: texts that differ but look the same.
+    """(doc_a, doc_b) with doc_a < doc_b: all pairs of rows whose texts differ but look the same.
 
-    Pairs of spellings are formed first, then expanded by the rows that hold
-    them, so rows with equal texts are never paired with each other, not even to
-    be thrown away. Repeated rows give a pair once. Rows with a null key give none.
+    This expands :func:`look_alike_classes`, for results that ask for every pair.
+    Pairs of spellings are formed first, then expanded by the rows that hold them,
+    so rows with equal texts are never paired with each other, not even to be
+    thrown away. Repeated rows give a pair once. A common spelling's rows are
+    divided over tasks.
     """
-    members = look_alike_members(df, key, text).where(F.col(key).isNotNull()).distinct()
-    variants = members.select("class_id", "variant").distinct()
-    a, b = variants.alias("a"), variants.alias("b")
-    spelled = a.join(b, (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.variant") < F.col("b.variant"))).select(F.col("a.variant").alias("va"), F.col("b.variant").alias("vb"))
-    one = members.select(F.col("variant").alias("va"), F.col(key).alias("ka"))
-    two = members.select(F.col("variant").alias("vb"), F.col(key).alias("kb"))
-    pairs = spelled.join(one, "va").join(two, "vb")
-    return pairs.where("ka <> kb").select(F.least("ka", "kb").alias("doc_a"), F.greatest("ka", "kb").alias("doc_b"))
+    found = look_alike_classes(df, key, text)
+    total = max(1, found.members.count())
+    hot = hot_keys(found.spellings, ["variant"], "n_rows", total)
+    other = found.spellings.select("class_id", F.col("variant").alias("_w"))
+    spelled = found.spellings.select("class_id", "variant").join(other, "class_id").where("variant < _w").select("variant", "_w")
+    one = join_hot(found.members.select("variant", F.col(key).alias("_a")), spelled, ["variant"], hot, spread=F.col("_a")).select("_a", F.col("_w").alias("variant"))
+    pairs = join_hot(one, found.members.select("variant", F.col(key).alias("_b")), ["variant"], hot, spread=F.col("_a")).where("_a <> _b")
+    return pairs.select(F.least("_a", "_b").alias("doc_a"), F.greatest("_a", "_b").alias("doc_b"))

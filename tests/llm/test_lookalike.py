@@ -2,7 +2,7 @@ import unicodedata
 
 import pytest
 
-from assaylake.llm.lookalike import canonical_texts, look_alike_map, look_alike_pairs
+from assaylake.llm.lookalike import canonical_texts, look_alike_classes, look_alike_map, look_alike_pairs
 
 ALIKE = [
     ["fix café", "fix café", "ﬁx café", "fıx".replace("fıx", "fix") + " café", "ｆｉｘ café", "fix café", "f​ix café", "f­ix café", "fіx café"],
@@ -11,6 +11,7 @@ ALIKE = [
     ["한글", unicodedata.normalize("NFD", "한글")],
     ["ガ", unicodedata.normalize("NFD", "ガ"), "ｶﾞ"],
     ["ё", "ë", "ё"],
+    ["Hello", "\U0001d407\U0001d41e\U0001d425\U0001d425\U0001d428", "\U0001d43b\u212f\U0001d459\U0001d459\U0001d45c", "\u210dello", "Неllо"],
 ]
 APART = ["a b", "a\tb", "a\nb", "a\r\nb", "ab", "AB", "aB", "l", "I", "1", "|", "0", "O", "o", "e", "é", "è", "ss", "ß", "a\x01b", "a\x02b", "x²", "x2", "rn", "m", "a  b", "ａ b".replace("ａ", "à")]
 
@@ -66,3 +67,18 @@ def test_empty_and_long(spark):
     long = "x" * 400_000
     df = spark.createDataFrame([(1, long), (2, long + "​"), (3, long + "y")], "doc_id long, text string")
     assert [tuple(r) for r in look_alike_pairs(df, "doc_id", "text").collect()] == [(1, 2)]
+
+
+def test_classes(spark, rows):
+    df = spark.createDataFrame(rows + rows[:1] + [(None, "a-b")], "doc_id long, text string")
+    found = look_alike_classes(df, "doc_id", "text")
+    text = dict(rows)
+    classes = {r.class_id: r for r in found.classes.collect()}
+    assert len(classes) == len(ALIKE) and {r.canonical for r in classes.values()} >= {"fix café", "a-b", "Hello"}
+    assert {r.class_id: r.n_spellings for r in classes.values()} == {c: len({text[r.doc_id] for r in found.members.where(found.members.class_id == c).collect()}) for c in classes}
+    spellings = found.spellings.collect()
+    assert len({text[r.representative] for r in spellings}) == len(spellings)
+    members = found.members.collect()
+    assert len({(r.doc_id) for r in members}) == len(members)
+    canonical = {r.doc_id: r.canonical for r in canonical_texts(df, "doc_id", "text").collect() if r.doc_id is not None}
+    assert all(canonical[r.doc_id] == classes[r.class_id].canonical for r in members)
