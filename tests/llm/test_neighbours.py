@@ -51,6 +51,37 @@ def test_ties_go_to_the_smaller_id(spark):
     assert answers(table(spark, ids, x), 4) == brute(ids, x, 4)
 
 
+def test_many_ties_at_the_last_distance(spark):
+    """Many points on a sphere around the one that asks: the smaller ids are kept."""
+    x = np.array([(0.0, 0.0, 0.0)] + [tuple(np.eye(3)[a] * s) for a in range(3) for s in (1.0, -1.0)] + [(0.6, 0.8, 0.0), (0.6, -0.8, 0.0), (-0.6, 0.8, 0.0), (-0.6, -0.8, 0.0), (0.0, 0.6, 0.8), (0.0, 0.6, -0.8), (0.0, -0.6, 0.8), (0.0, -0.6, -0.8), (0.8, 0.0, 0.6), (-0.8, 0.0, 0.6)])
+    ids = ["z"] + [f"p{i:02d}" for i in np.random.default_rng(0).permutation(len(x) - 1)]
+    got = answers(table(spark, ids, x), 2)
+    assert got["z"] == brute(ids, x, 2)["z"] == ["p00", "p01"]
+    at, near = N._nearest_in(np.zeros((1, 2)), np.array([[1.0, 0.0], [0.0, 1.0]] * 30), 3)
+    assert at.tolist() == [[0, 1, 2]] and near.tolist() == [[1.0, 1.0, 1.0]]
+
+
+def test_sparse_lists_are_topped_up(spark, monkeypatch):
+    """Lists with fewer than k vectors: every row still gets k others."""
+    monkeypatch.setattr(N, "LIST_SIZE", 4)
+    monkeypatch.setattr(N, "LEAST_LIST", 2)
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.normal(10**i, 1e-3, (3, 2)) for i in range(12)])
+    ids = [f"c{i:03d}" for i in range(len(x))]
+    got = answers(table(spark, ids, x), 30)
+    assert all(len(set(v)) == 30 and i not in v for i, v in got.items()) and len(got) == len(x)
+
+
+def test_long_lists_are_searched_by_parts(spark, monkeypatch):
+    monkeypatch.setattr(N, "SAMPLE_ROWS", 60)  # few centroids for many vectors
+    monkeypatch.setattr(N, "LIST_SIZE", 24)
+    monkeypatch.setattr(N, "LONG_LIST", 60)
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (1500, 2))
+    ids = [f"c{i:04d}" for i in range(len(x))]
+    assert recall(answers(table(spark, ids, x), 5), brute(ids, x, 5)) >= 0.99
+
+
 def test_edges(spark):
     empty = table(spark, [], np.zeros((0, 2)))
     assert N.nearest_neighbours(empty, "id", "vec", 5).count() == 0
