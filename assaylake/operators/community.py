@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
 from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from assaylake.plans.scratch import Scratch
@@ -57,7 +58,10 @@ def dbscan(nodes: DataFrame, edges: DataFrame, *, min_samples: int, core: DataFr
 
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, *, rounds: int = 20) -> DataFrame:
-    """(id, community): synchronous weighted label propagation with a stay-put bonus; ties go to the smaller label."""
+    """(id, community): synchronous weighted label propagation with a stay-put bonus; ties go to the smaller label.
+
+    Labels of some graphs never come to rest; after ``rounds`` rounds a warning says so.
+    """
     scratch = Scratch(nodes.sparkSession, "propagation")
     labels = scratch.save(nodes.select("id", F.col("id").alias("community")), "labels0")
     strength = edges.groupBy("src").agg(F.sum("weight").alias("_all"))
@@ -69,7 +73,8 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, *, rounds: int = 20) -
         new = labels.join(best, labels["id"] == best["src"], "left").select("id", F.coalesce("b.community", "community").alias("community"), (F.coalesce("b.community", "community") != F.col("community")).alias("moved"))
         labels = scratch.save(new.observe(seen, F.count(F.when(F.col("moved"), 1)).alias("moved")), f"labels{k}").select("id", "community")
         if not seen.get["moved"]:
-            break
+            return labels
+    warnings.warn(f"labels still move after {rounds} rounds", stacklevel=2)
     return labels
 
 
@@ -103,15 +108,44 @@ def _local_moves(n: int, indptr: np.ndarray, indices: np.ndarray, weights: np.nd
     return part
 
 
-def leiden(nodes: DataFrame, edges: DataFrame, *, resolution: float = 1.0, random_seed: int = 0, iterations: int = 2, limit: int = 50_000_000) -> DataFrame:
-    """(id, community): modularity communities, numbered by decreasing size.
+def _refined(n: int, indptr: np.ndarray, indices: np.ndarray, weights: np.ndarray, part: np.ndarray, resolution: float, beta: float, rng: np.random.Generator) -> np.ndarray:
+    """Parts within communities, grown from single nodes by random merges that don't lower the modularity.
 
-    ``edges`` is (src, dst, weight); the larger weight of both directions counts.
-    The optimisation runs in one task over the aggregated graph, as the order of
-    moves matters; a graph of more than ``limit`` edges is refused, and
-    :func:`label_propagation` is the distributed alternative. Equal seeds give
-    equal results.
+    Only nodes and parts that are well connected to the rest of their community
+    take part. A part is chosen with a chance that grows with its gain, the more
+    sharply the smaller ``beta`` is.
     """
+    strength = np.bincount(np.repeat(np.arange(n), np.diff(indptr)), weights, n)
+    total = strength.sum()
+    size = np.bincount(part, strength, n)  # strength of the communities
+    fine, mass, alone = np.arange(n), strength.copy(), np.ones(n, bool)
+    rows = np.repeat(np.arange(n), np.diff(indptr))
+    inner = (part[rows] == part[indices]) & (rows != indices)
+    outward = np.bincount(rows[inner], weights[inner], n)  # weight from a part to the rest of its community
+    fits = lambda c, k: outward[c] >= resolution * mass[c] * (size[k] - mass[c]) / total
+    for i in rng.permutation(n).tolist():
+        k = part[i]
+        if not alone[i] or not fits(i, k):
+            continue
+        to: dict[int, float] = {}
+        for j, x in zip(indices[indptr[i] : indptr[i + 1]], weights[indptr[i] : indptr[i + 1]]):
+            if j != i and part[j] == k:
+                to[fine[j]] = to.get(fine[j], 0.0) + x
+        names = [c for c in sorted(to) if c != i and fits(c, k)]
+        gain = np.array([0.0, *(to[c] - resolution * strength[i] * mass[c] / total for c in names)])
+        able = gain >= 0
+        chance = np.where(able, np.exp(np.minimum((gain - gain.max()) / beta, 0)), 0.0)
+        c = [i, *names][rng.choice(len(gain), p=chance / chance.sum())]
+        if c != i:
+            fine[i], alone[i], alone[c] = c, False, False
+            mass[c] += strength[i]
+            outward[c] += outward[i] - 2 * to[c]
+            mass[i] = 0.0
+    return fine
+
+
+def _solutions(nodes: DataFrame, edges: DataFrame, runs: list[tuple], limit: int, solve) -> DataFrame:
+    """(sample, id, community): ``solve(n, src, dst, weight, run)`` for each of ``runs`` in a task of its own."""
     from assaylake.operators.graph import undirected
 
     pairs = undirected(edges)
@@ -119,17 +153,57 @@ def leiden(nodes: DataFrame, edges: DataFrame, *, resolution: float = 1.0, rando
         raise ValueError(f"more than {limit} edges; use label_propagation")
     kind = nodes.schema["id"].dataType.simpleString()
 
-    def solve(key, ids: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, ids: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         names = np.sort(ids["id"].to_numpy())
-        part = communities(len(names), np.searchsorted(names, pdf["src"].to_numpy()), np.searchsorted(names, pdf["dst"].to_numpy()), pdf["weight"].to_numpy(float), resolution, random_seed, iterations)
-        return pd.DataFrame({"id": names, "community": part})
+        pdf = pdf[pdf["src"].isin(names) & pdf["dst"].isin(names)].sort_values(["src", "dst"])
+        part = solve(len(names), np.searchsorted(names, pdf["src"].to_numpy()), np.searchsorted(names, pdf["dst"].to_numpy()), pdf["weight"].to_numpy(float), runs[key[0]])
+        return pd.DataFrame({"sample": np.int32(key[0]), "id": names, "community": part})
+
+    each = lambda df: df.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(len(runs) - 1)))).groupBy("_s")
+    return each(nodes.select("id").distinct()).cogroup(each(pairs)).applyInPandas(run, f"sample int, id {kind}, community int")
+
+
+def leiden(nodes: DataFrame, edges: DataFrame, *, resolution: float = 1.0, random_seed: int = 0, iterations: int = 2, beta: float = 0.01, limit: int = 50_000_000) -> DataFrame:
+    """(id, community): modularity communities by the Leiden method, numbered by decreasing size.
+
+    ``edges`` is (src, dst, weight); the larger weight of both directions counts.
+    ``beta`` is the randomness of the refinement. The optimisation runs in one task
+    over the aggregated graph, as the order of moves matters; a graph of more than
+    ``limit`` edges is refused, and :func:`label_propagation` is the distributed
+    alternative. Equal seeds give equal results.
+    """
+    run = lambda n, a, b, w, r: communities(n, a, b, w, resolution, random_seed, iterations, beta)
+    return _solutions(nodes, edges, [()], limit, run).select("id", "community")
+
+
+def _stacked(solutions: DataFrame) -> DataFrame:
+    """(id, codes ARRAY<INT>), one code a sample."""
+    return solutions.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("sample", "community")))["community"].alias("codes"))
+
+
+def leiden_matrix(nodes: DataFrame, edges: DataFrame, resolution: float | list[float], sample_n: int | None = None, *, beta: float | list[float] = 0.03, random_seed: int = 0, iterations: int = 2, limit: int = 50_000_000) -> DataFrame:
+    """(id, codes ARRAY<INT>): repeated Leiden communities, one run a sample, seeds counted up from ``random_seed``.
+
+    Without ``sample_n`` there are as many runs as the list of resolutions (or of
+    betas) is long. Runs are independent tasks.
+    """
+    if sample_n is None:
+        if not isinstance(resolution, list) and not isinstance(beta, list):
+            raise ValueError("give sample_n, or a list of resolutions or betas")
+        sample_n = len(resolution if isinstance(resolution, list) else beta)
+    of = lambda x, i: x[i] if isinstance(x, list) else x
+    runs = [(of(resolution, i), random_seed + i, of(beta, i)) for i in range(sample_n)]
+    return _stacked(_solutions(nodes, edges, runs, limit, lambda n, a, b, w, r: communities(n, a, b, w, r[0], r[1], iterations, r[2])))
+
 
-    one = lambda df: df.withColumn("_g", F.lit(0)).groupBy("_g")
-    return one(nodes.select("id").distinct()).cogroup(one(pairs)).applyInPandas(solve, f"id {kind}, community int")
+def random_neighbourhood_matrix(nodes: DataFrame, edges: DataFrame, n_clusters: int | list[int], sample_n: int, *, random_seed: int = 0, limit: int = 50_000_000) -> DataFrame:
+    """(id, codes ARRAY<INT>): repeated random partitions into connected neighbourhoods, as :func:`leiden_matrix` stacks them."""
+    runs = [(n_clusters[i] if isinstance(n_clusters, list) else n_clusters, random_seed + i) for i in range(sample_n)]
+    return _stacked(_solutions(nodes, edges.withColumn("weight", F.lit(1.0)), runs, limit, lambda n, a, b, w, r: random_neighbourhoods(n, a, b, r[0], r[1])))
 
 
-def communities(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, resolution: float, seed: int, iterations: int) -> np.ndarray:
-    """Local moves, refinement into connected parts and aggregation, repeated; numbered by decreasing size."""
+def communities(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, resolution: float, seed: int, iterations: int, beta: float = 0.01) -> np.ndarray:
+    """Local moves, refinement and aggregation of the refined parts, repeated; numbered by decreasing size."""
     rng = np.random.default_rng(seed)
     part = np.arange(n)
     for _ in range(iterations):
@@ -139,9 +213,8 @@ def communities(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, re
             order = np.argsort(a, kind="stable")
             indptr = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=size))])
             moved = _local_moves(size, indptr, b[order], w[order], np.unique(start, return_inverse=True)[1].copy(), resolution, rng)
-            fine = _connected_parts(size, a, b, moved)
-            codes, compact = np.unique(fine, return_inverse=True)
             part = moved[members]
+            codes, compact = np.unique(_refined(size, indptr, b[order], w[order], moved, resolution, beta, rng), return_inverse=True)
             if len(codes) == size:
                 break
             start = np.zeros(len(codes), np.int64)
@@ -246,8 +319,24 @@ def community_hierarchy(sizes: dict, links: dict) -> tuple[list[tuple[int, int,
     return linkage, order
 
 
+def community_tree(edges: DataFrame, memberships: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The hierarchy of communities: (step, a, b, height, n_leaves) and (community, position).
+
+    Clusters of ``linkage`` are numbered as communities are in order, merged ones
+    from their number on. The driver sees one number for each pair of communities.
+    """
+    spark = edges.sparkSession
+    kind = memberships.schema["community"].dataType.simpleString()
+    named = memberships.where(F.col("community").isNotNull())
+    sizes = {r.community: r.n for r in named.groupBy("community").agg(F.count(F.lit(1)).alias("n")).collect()}
+    links = {(r.ca, r.cb): r.n_edges for r in contract(edges, named).where("ca <> cb").collect()}
+    linkage, order = community_hierarchy(sizes, links)
+    steps = spark.createDataFrame([(k, a, b, float(h), n) for k, (a, b, h, n) in enumerate(linkage)], "step int, a int, b int, height double, n_leaves int")
+    return steps, spark.createDataFrame([(c, i) for i, c in enumerate(order)], f"community {kind}, position int")
+
+
 def silhouettes(points: DataFrame, *, block_rows: int = 8_192) -> DataFrame:
-    """(id, cluster, silhouette) from mean Euclidean distances; points is (id, vec, cluster).
+    """(id, cluster, silhouette) from mean Euclidean distances; points is (id, vec, cluster), with labels of any type.
 
     Every block of points is compared with every other one inside an Arrow
     function, which returns one sum per point and cluster. A point alone in its
@@ -256,7 +345,11 @@ def silhouettes(points: DataFrame, *, block_rows: int = 8_192) -> DataFrame:
     from assaylake.operators.graph import _compare, euclidean
 
     labelled = points.where("cluster is not null")
-    packed = labelled.select("id", F.concat(F.col("vec").cast("array<double>"), F.array(F.col("cluster").cast("double"))).alias("vec"))
+    codes = labelled.select("cluster").distinct().select("cluster", F.xxhash64("cluster").alias("_h"))
+    order = Window.orderBy("_h", "cluster")  # one row a cluster
+    codes = codes.withColumn("_code", F.row_number().over(order).cast("double")).drop("_h")
+    labelled = labelled.join(codes, "cluster")
+    packed = labelled.select("id", F.concat(F.col("vec").cast("array<double>"), F.array("_code")).alias("vec"))
 
     def sums(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(b):
@@ -269,9 +362,9 @@ def silhouettes(points: DataFrame, *, block_rows: int = 8_192) -> DataFrame:
 
     kind = points.schema["id"].dataType.simpleString()
     s = _compare(packed, packed, block_rows, sums, f"id {kind}, other double, total double").groupBy("id", "other").agg(F.sum("total").alias("total"))
-    n = labelled.groupBy(F.col("cluster").cast("double").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    rows = s.join(n, "other").join(labelled.select("id", "cluster"), "id")
-    own = F.col("other") == F.col("cluster").cast("double")
+    n = labelled.groupBy(F.col("_code").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    rows = s.join(n, "other").join(labelled.select("id", "cluster", "_code"), "id")
+    own = F.col("other") == F.col("_code")
     ab = rows.groupBy("id", "cluster").agg(F.max(F.when(own, F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
     return ab.select("id", "cluster", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
 

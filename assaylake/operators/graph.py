@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 BLOCK_ROWS = 8_192
 METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {}
@@ -184,6 +185,36 @@ def radius_graph(points: DataFrame, epsilon: float, *, metric_name: str = "eucli
     return _compare(points, points, block_rows, near, f"src {kind}, dst {kind}, distance double").where("src <> dst")
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _strengths(distances: pd.Series) -> pd.Series:
+    """Membership strengths of rows of distances; the bisections of a batch run side by side."""
+    rows = [np.asarray(d, float) for d in distances]
+    if not rows:
+        return pd.Series([], dtype=object)
+    n = np.array([len(d) for d in rows])
+    m = np.full((len(rows), max(n.max(), 1)), np.nan)
+    for row, d in zip(m, rows):
+        row[: len(d)] = d
+    known = ~np.isnan(m)
+    rho = np.where(known & (m > 0), m, np.inf).min(axis=1)
+    rho[~np.isfinite(rho)] = 0.0
+    over = np.where(known, np.maximum(m - rho[:, None], 0.0), 0.0)
+    target = np.log2(np.maximum(n + 1, 2))
+    low, high, mid, open_ = np.zeros(len(rows)), np.full(len(rows), np.inf), np.ones(len(rows)), np.ones(len(rows), bool)
+    for _ in range(64):
+        s = np.where(known, np.exp(-over / mid[:, None]), 0.0).sum(axis=1)
+        open_ &= np.abs(s - target) >= 1e-5
+        if not open_.any():
+            break
+        up, down = open_ & (s > target), open_ & (s <= target)
+        high[up], low[down] = mid[up], mid[down]
+        mid = np.where(up, (low + high) / 2, np.where(down, np.where(np.isinf(high), mid * 2, (low + np.where(np.isinf(high), 0.0, high)) / 2), mid))
+    average = np.where(known, m, 0.0).sum(axis=1) / np.maximum(n, 1)
+    mid = np.maximum(np.maximum(mid, 1e-3 * average), 1e-12)
+    w = np.exp(-over / mid[:, None])
+    return pd.Series([row[:k] for row, k in zip(w, n)])
+
+
 def fuzzy_simplicial_set(neighbours: DataFrame) -> DataFrame:
     """(src, dst, weight): symmetric membership strengths a + b - ab of a neighbour table.
 
@@ -191,26 +222,8 @@ def fuzzy_simplicial_set(neighbours: DataFrame) -> DataFrame:
     so that the strengths sum to log2 k.
     """
 
-    def strengths(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf["distance"].to_numpy(float)
-        positive = d[d > 0]
-        rho = positive.min() if len(positive) else 0.0
-        target, low, high, mid = np.log2(max(len(d) + 1, 2)), 0.0, np.inf, 1.0
-        for _ in range(64):
-            s = np.where(d - rho > 0, np.exp(-np.maximum(d - rho, 0) / mid), 1.0).sum()
-            if abs(s - target) < 1e-5:
-                break
-            if s > target:
-                high = mid
-                mid = (low + high) / 2
-            else:
-                low = mid
-                mid = mid * 2 if high == np.inf else (low + high) / 2
-        mid = max(mid, 1e-3 * (d.mean() if len(d) else 1.0), 1e-12)
-        return pdf[["src", "dst"]].assign(weight=np.where(d - rho > 0, np.exp(-np.maximum(d - rho, 0) / mid), 1.0))
-
-    kind = neighbours.schema["src"].dataType.simpleString()
-    one = neighbours.select("src", "dst", "distance").groupBy("src").applyInPandas(strengths, f"src {kind}, dst {kind}, weight double")
+    near = neighbours.groupBy("src").agg(F.collect_list(F.struct("dst", "distance")).alias("_n"))  # k rows a source
+    one = near.withColumn("_w", _strengths("_n.distance")).select("src", F.inline(F.arrays_zip(F.col("_n.dst").alias("dst"), F.col("_w").alias("weight"))))
     both = one.select("src", "dst", F.col("weight").alias("w")).unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("weight").alias("w")))
     # a pair has one or two strengths; a + b - ab = 1 - (1 - a)(1 - b)
     return both.groupBy("src", "dst").agg(F.sum("w").alias("_s"), F.max("w").alias("_a"), F.count(F.lit(1)).alias("_c")).select("src", "dst", F.when(F.col("_c") == 1, F.col("_a")).otherwise(F.col("_s") - F.col("_a") * (F.col("_s") - F.col("_a"))).alias("weight"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.operators.kernels import midrank
+from assaylake.operators.kernels import midrank, order_statistic_quantile
 from assaylake.operators.summaries import mode_by_group
 from assaylake.plans.scratch import Scratch
 
@@ -101,50 +101,100 @@ def bilinear(z: np.ndarray, factor: int) -> np.ndarray:
     return z
 
 
-def smooth_pixels(z: DataFrame, known: DataFrame, resolution: tuple[int, int], *, sigma: float = 1.0, median: tuple[int, int] = (3, 3), passes: int = 2) -> DataFrame:
-    """(var_id, ix, iy, z): median passes, then a Gaussian over known pixels with its weights renormalised.
+def smoothed_images(z: DataFrame, known: DataFrame, resolution: tuple[int, int], *, gauss: tuple[float, float] | float | None = None, median: tuple[int, int] | None = (3, 3), passes: int = 2, nan_fill: float = 0.0) -> DataFrame:
+    """(var_id, image ARRAY<DOUBLE>): row by row, median passes and then a Gaussian over known pixels with its weights renormalised.
 
-    ``z`` is (var_id, ix, iy, z) of non-zero pixels, ``known`` (ix, iy) all
-    pixels that hold a value; both are as small as the grid. One task per feature.
+    ``z`` is (var_id, ix, iy, z) of non-zero pixels, ``known`` (ix, iy) all pixels
+    that hold a value; both are as small as the grid. One task per feature. Unknown
+    pixels are 0, but after the Gaussian those it doesn't reach are ``nan_fill``.
     """
     pairs = known.agg(F.collect_list(F.struct("ix", "iy"))).first()[0]  # at most resolution[0] * resolution[1]
     mask = np.zeros(resolution, bool)
     if pairs:
         mask[tuple(np.array([(p.ix, p.iy) for p in pairs]).T)] = True
+    sigma = gauss if gauss is None or isinstance(gauss, tuple) else (gauss, gauss)
+    norm = gaussian_filter(mask.astype(float), sigma) if sigma else None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         image = np.where(mask, 0.0, np.nan)
         image[pdf["ix"], pdf["iy"]] = pdf["z"]
-        for _ in range(passes):
+        for _ in range(passes if median else 0):
             image = np.where(mask, median_filter(image, median), np.nan)
-        if sigma > 0:
-            image = gaussian_filter(np.where(mask, image, 0.0), sigma) / np.maximum(gaussian_filter(mask.astype(float), sigma), 1e-12)
-        ix, iy = np.nonzero(mask)
-        return pd.DataFrame({"var_id": pdf["var_id"].iloc[0], "ix": ix.astype("int32"), "iy": iy.astype("int32"), "z": image[mask]})
+        image = np.where(mask, image, 0.0)
+        if sigma:
+            far = norm <= 1e-5
+            image = np.where(far, nan_fill, gaussian_filter(image, sigma) / np.where(far, 1.0, norm))
+        return pd.DataFrame({"var_id": [pdf["var_id"].iloc[0]], "image": [image.ravel()]})
 
-    return z.select("var_id", "ix", "iy", "z").groupBy("var_id").applyInPandas(run, "var_id string, ix int, iy int, z double")
+    return z.select("var_id", "ix", "iy", "z").groupBy("var_id").applyInPandas(run, "var_id string, image array<double>")
 
 
-def rescale_pixels(z: DataFrame, *, q: float = 1.0, max_up: float = 20.0, all_feature_q: float | None = None, low: float | None = None, high: float | None = None, scalar: float = 1.0) -> DataFrame:
-    """Global cut and min-max, per-feature scaling by a quantile (at most ``max_up`` times), winsorising, global min-max."""
-    scratch = Scratch(z.sparkSession, "pixels")
-    x = F.col("z")
-    z = scratch.save(z, "raw")
-    if all_feature_q is not None:
-        z = scratch.save(z.withColumn("z", F.least(x, z.agg(F.percentile("z", all_feature_q)).scalar())), "cut")
-    unit = _to_unit(z)
-    top = unit.groupBy("var_id").agg(F.percentile("z", q).alias("_q"))
-    out = unit.join(top, "var_id").withColumn("z", x * F.least(F.coalesce(F.try_divide(F.lit(1.0), F.col("_q")), F.lit(max_up)), F.lit(max_up))).drop("_q")
-    if low is not None or high is not None:
-        cut = out.groupBy("var_id").agg(F.percentile("z", low or 0.0).alias("_lo"), F.percentile("z", high if high is not None else 1.0).alias("_hi"))
-        out = out.join(cut, "var_id").withColumn("z", F.least(F.greatest(x, F.col("_lo")), F.col("_hi"))).drop("_lo", "_hi")
-    return _to_unit(scratch.save(out, "scaled")).withColumn("z", x * scalar)
+def _ends(images: DataFrame) -> tuple[Column, Column]:
+    """The least and the greatest value of all images, as scalar subqueries."""
+    return images.agg(F.min(F.array_min("image"))).scalar(), images.agg(F.max(F.array_max("image"))).scalar()
+
+
+def _quantile(images: DataFrame, q: float) -> Column:
+    if q == 1:
+        return _ends(images)[1]
+    return order_statistic_quantile(images.select(F.explode("image").alias("v")), "v", q)
 
 
-def _to_unit(z: DataFrame) -> DataFrame:
+def _to_unit(images: DataFrame) -> DataFrame:
     """Values moved to 0..1; a constant becomes 0."""
-    ends = z.withColumns({"_lo": z.agg(F.min("z")).scalar(), "_hi": z.agg(F.max("z")).scalar()})
-    return ends.withColumn("z", F.coalesce(F.try_divide(F.col("z") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))).drop("_lo", "_hi")
+    low, high = _ends(images)
+    held = images.withColumns({"_lo": low, "_hi": high})
+    return held.withColumn("image", F.transform("image", lambda x: F.coalesce(F.try_divide(x - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)))).drop("_lo", "_hi")
+
+
+def transform_grid(
+    z: DataFrame, known: DataFrame, resolution: tuple[int, int], *, gauss: tuple[float, float] | float | None = None, median: tuple[int, int] | None = (3, 3), passes: int = 2, upscale: int = 1, scalar: float = 1.0,
+    max_up: float = 20.0, all_feature_q: float | None = None, range_q: float = 1.0, winsor_low: float | None = None, winsor_high: float | None = None, winsor_is_share_of_max: bool = False, winsor_low_to_zero: bool = False, nan_fill: float = 0.0,
+) -> DataFrame:
+    """(var_id, ix, iy, z) of every pixel: the whole chain of image transformations.
+
+    Median passes and the Gaussian of :func:`smoothed_images`; with
+    ``all_feature_q`` a cut at the ``range_q`` quantile of all values, a move to
+    0..1 and a factor of 1 over each feature's quantile, at most ``max_up``;
+    winsorising of all values together, at quantiles or at shares of the maximum,
+    the lower values becoming the bound or 0; a move to 0..1; bilinear upscaling by
+    a whole factor; ``scalar``. Quantiles run over all pixels of all features,
+    unknown ones included.
+    """
+    if int(upscale) != upscale or upscale < 1:
+        raise ValueError("upscale is a whole number")
+    scratch = Scratch(z.sparkSession, "pixels")
+    images = scratch.save(smoothed_images(z, known, resolution, gauss=gauss, median=median, passes=passes, nan_fill=nan_fill), "smoothed")
+    if all_feature_q is not None:
+        top = images.withColumn("_t", _quantile(images, range_q))
+        images = scratch.save(top.withColumn("image", F.transform("image", lambda x: F.least(x, F.col("_t")))).drop("_t"), "cut")
+        q = float(all_feature_q)
+
+        @F.pandas_udf("array<double>")
+        def stretch(image: pd.Series) -> pd.Series:
+            out = []
+            for x in image:
+                at = np.quantile(x, q)
+                out.append(x * (min(1 / at, max_up) if at > 0 else max_up))
+            return pd.Series(out)
+
+        images = scratch.save(_to_unit(images).withColumn("image", stretch("image")), "stretched")
+    for name, q, low in (("high", winsor_high, False), ("low", winsor_low, True)):
+        if q is not None:
+            bound = _ends(images)[1] * F.lit(q) if winsor_is_share_of_max else _quantile(images, q)
+            cut = (lambda x: F.when(x < F.col("_b"), F.lit(0.0) if winsor_low_to_zero else F.col("_b")).otherwise(x)) if low else (lambda x: F.least(x, F.col("_b")))
+            images = scratch.save(images.withColumn("_b", bound).withColumn("image", F.transform("image", cut)).drop("_b"), name)
+    images = _to_unit(images)
+    shape = tuple(resolution)
+    if upscale > 1:
+
+        @F.pandas_udf("array<double>")
+        def larger(image: pd.Series) -> pd.Series:
+            return pd.Series([bilinear(np.asarray(x).reshape(shape), upscale).ravel() for x in image])
+
+        images, shape = images.withColumn("image", larger("image")), (shape[0] * upscale, shape[1] * upscale)
+    rows = images.select("var_id", F.posexplode("image").alias("_i", "_z"))
+    return rows.select("var_id", F.floor(F.col("_i") / shape[1]).cast("int").alias("ix"), (F.col("_i") % shape[1]).alias("iy"), (F.col("_z") * scalar).alias("z"))
 
 
 def landscape_dynamics(z: DataFrame, regions: DataFrame, axis_y: DataFrame, category: str, *, spearman: bool = False) -> DataFrame:
@@ -204,16 +254,20 @@ def slice_pixels(z: DataFrame, axis: str, low: float, high: float, axes: DataFra
     return z.join(band, f"i{axis}").groupBy("var_id", F.col(f"i{other}").alias("i")).agg(F.sum("z").alias("z"))
 
 
-def trim_grid(regions: DataFrame, min_x: int, min_y: int) -> DataFrame:
-    """Pixels in columns of at least ``min_x`` cells and rows of at least ``min_y``."""
-    cols = regions.groupBy("ix").agg(F.sum("n_cells").alias("n")).where(F.col("n") >= min_x).select("ix")
-    rows = regions.groupBy("iy").agg(F.sum("n_cells").alias("n")).where(F.col("n") >= min_y).select("iy")
-    return regions.join(cols, "ix", "left_semi").join(rows, "iy", "left_semi")
+def trim_grid(regions: DataFrame, min_x: int, min_y: int = 0) -> DataFrame:
+    """The pixels between the first and the last column (row) of more than ``min_x`` (``min_y``) cells."""
+    out = regions
+    for axis, least in (("ix", min_x), ("iy", min_y)):
+        kept = regions.groupBy(axis).agg(F.sum("n_cells").alias("n")).where(F.col("n") > least)
+        out = out.where(F.col(axis).between(kept.agg(F.min(axis)).scalar(), kept.agg(F.max(axis)).scalar()))
+    return out
 
 
-def color_summary(regions: DataFrame, category: str, min_x: int, min_y: int) -> DataFrame:
-    """(ix, mode): the most frequent category of each column of the trimmed grid."""
-    return mode_by_group(trim_grid(regions, min_x, min_y), ["ix"], category)
+def color_summary(regions: DataFrame, category: str, min_x: int, min_y: int = 0, *, y_fraction: float = 1.0, rows: int | None = None) -> DataFrame:
+    """(ix, mode): the most frequent category of each column of the trimmed grid, over the lower ``y_fraction`` of its ``rows``."""
+    low = regions if rows is None else regions.where(F.col("iy") < int(rows * y_fraction))
+    trimmed = trim_grid(regions, min_x, min_y).join(low.select("ix", "iy"), ["ix", "iy"], "left_semi")
+    return mode_by_group(trimmed, ["ix"], category)
 
 
 def binned_mean(df: DataFrame, x: str, y: str, size: float, *, by: Sequence[str] = ()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.operators.kernels import midrank
 from assaylake.plans.scratch import Scratch
 
 TINY = 1e-8
@@ -210,22 +212,70 @@ def predict_observations(post: DataFrame, hmm: Hmm, *, variance: bool = False) -
     return post.select("gene", "cell_type", "t", F.inline(F.array(*per)))
 
 
-def bootstrap_correlation(pairs: DataFrame, by: str, *, q: float = 0.1, resamples: int = 30, seed: int = 0) -> DataFrame:
-    """(by, res): the q-quantile of Pearson correlations over resamples of a third of the rows with replacement."""
+@dataclass(frozen=True)
+class HmmResults:
+    """What a model has been used for: named tables of posteriors and of reconstructed data."""
+
+    name: str
+    probabilities: dict[str, DataFrame] = field(default_factory=dict)
+    reconstructed: dict[str, DataFrame] = field(default_factory=dict)
+
+    def merge(self, other: "HmmResults", *, overwrite: bool = True) -> "HmmResults":
+        """Both together; of equal names the other's counts with a warning, or is refused."""
+        if self.name != other.name:
+            raise ValueError("results of different models")
+        both = sorted({*self.probabilities} & {*other.probabilities}) + sorted({*self.reconstructed} & {*other.reconstructed})
+        if both and not overwrite:
+            raise ValueError(f"both hold {both}")
+        if both:
+            warnings.warn(f"overwritten: {both}", stacklevel=2)
+        return HmmResults(self.name, {**self.probabilities, **other.probabilities}, {**self.reconstructed, **other.reconstructed})
+
+
+def _pearson(x: np.ndarray, y: np.ndarray) -> float:
+    sx, sy = x.std(), y.std()
+    return float(((x - x.mean()) * (y - y.mean())).mean() / (sx * sy)) if sx > 0 and sy > 0 else 0.0
+
+
+def bootstrap_correlation(pairs: DataFrame, by: str, *, q: float | None = 0.1, ignore_zero: bool = True, resamples: int = 30, seed: int = 0) -> DataFrame:
+    """(by, res): the q-quantile of Pearson correlations over resamples of a third of the rows with replacement.
+
+    With ``q`` None it is the plain correlation. With ``ignore_zero`` pairs of which
+    both are the least value of their side are left out, unless values below 0
+    occur in the whole table. Fewer than two rows, or a constant side, give 0.
+    """
     kind = pairs.schema[by].dataType.simpleString()
+    rows = pairs.select(by, "x", "y")
+    if ignore_zero:
+        ends = rows.groupBy(by).agg(F.min("x").alias("_x"), F.min("y").alias("_y"))
+        low = rows.agg(F.least(F.min("x"), F.min("y"))).scalar()
+        rows = rows.join(ends, by).where((low < 0) | (F.col("x") != F.col("_x")) | (F.col("y") != F.col("_y"))).select(by, "x", "y")
+    if q is None:
+        return rows.groupBy(by).agg(F.corr("x", "y").alias("res")).select(by, F.coalesce(F.when(~F.isnan("res"), F.col("res")), F.lit(0.0)).alias("res"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed)
         pdf = pdf.sort_values(["x", "y"])
         x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        n, rs = max(len(x) // 3, 2), []
-        for _ in range(resamples):
-            i = rng.integers(0, len(x), n)
-            sx, sy = x[i].std(), y[i].std()
-            rs.append(float(((x[i] - x[i].mean()) * (y[i] - y[i].mean())).mean() / (sx * sy)) if sx > 0 and sy > 0 else 0.0)
+        n = max(len(x) // 3, 2)
+        rs = [_pearson(x[i], y[i]) for i in (rng.integers(0, len(x), n) for _ in range(resamples))]
         return pd.DataFrame({by: [pdf[by].iloc[0]], "res": [float(np.quantile(rs, q))]})
 
-    return pairs.select(by, "x", "y").groupBy(by).applyInPandas(run, f"{by} {kind}, res double")
+    return rows.groupBy(by).applyInPandas(run, f"{by} {kind}, res double")
+
+
+def lagged_correlation(pairs: DataFrame, by: list[str], *, lag: int = 0, spearman: bool = True) -> DataFrame:
+    """(by, res): correlation over time of x(t + lag) with y(t), on ranks if wished; ``pairs`` is (by, t, x, y).
+
+    Times without a partner are left out; where a side is constant, or has no two
+    times, there is no correlation (null).
+    """
+    x = pairs.select(*by, (F.col("t") - lag).alias("t"), "x").where(F.col("x").isNotNull())
+    both = x.join(pairs.select(*by, "t", "y").where(F.col("y").isNotNull()), [*by, "t"])
+    if spearman:
+        both = midrank(both, by, "x", out="_rx").drop("n_ties")
+        both = midrank(both, by, "y", out="_ry").select(*by, F.col("_rx").alias("x"), F.col("_ry").alias("y"))
+    return both.groupBy(*by).agg(F.corr("x", "y").alias("res")).withColumn("res", F.when(~F.isnan("res"), F.col("res")))
 
 
 def transition_frame(spark, hmm: Hmm) -> DataFrame:

@@ -143,3 +143,18 @@ def zero_aware_quantile(values: DataFrame, group: Sequence[str], n: Column, q: f
     hi = F.when(in_zero(F.first(high)), F.lit(0.0)).otherwise(at(high))
     agg = c.groupBy(*keys).agg(lo.alias("_lo"), hi.alias("_hi"), F.first(F.col("_h") - low).alias("_f"))
     return agg.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("quantile"))
+
+
+def order_statistic_quantile(df: DataFrame, value: str, q: float) -> Column:
+    """The linear-interpolated quantile of a whole column, as a scalar subquery.
+
+    Distinct values are counted map-side and put in order range by range; only the
+    two order statistics that matter are looked up. Nulls don't count.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_t"))
+    ordered, _ = _in_order(counts, [], "_v", "_t")
+    n = ordered.agg(F.sum("_t")).scalar()
+    h = (n - 1) * F.lit(q)
+    at = lambda i: F.min(F.when(F.col("_upto") > i, F.col("_v")))
+    two = ordered.agg(at(F.floor(h)).alias("_lo"), at(F.ceil(h)).alias("_hi"))
+    return two.select(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (h - F.floor(h))).scalar()

@@ -198,3 +198,33 @@ def concat_features(layers: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def add_metabin_metadata(assay: Assay, turned: Assay, membership: str, *, embedding: str | None = None, tree: str | None = "community_tree") -> Assay:
+    """The feature clusters of a transposed assay as ``metabin`` of the features, with their embedding and tree if named.
+
+    ``turned`` has the features of ``assay`` as its cells: the same names, no fewer
+    and no more, or it is an error. The embedding goes to ``obsm`` under
+    ``var:X_embedding``, the tree to ``uns`` under ``metabin_community_tree``.
+    """
+    if membership not in turned.obs.columns:
+        raise ValueError(f"no column {membership!r}")
+    ids = turned.obs.select(F.col("obs_id").alias("var_id"))
+    if assay.var.select("var_id").join(ids, "var_id", "full").count() != assay.var.join(ids, "var_id").count():
+        raise ValueError("the assays aren't transposes of each other")
+    out = assay.with_var(assay.var.drop("metabin").join(turned.obs.select(F.col("obs_id").alias("var_id"), F.col(membership).alias("metabin")), "var_id"))
+    if embedding is not None:
+        if embedding not in turned.obsm:
+            raise ValueError(f"no embedding {embedding!r}")
+        out = replace(out, obsm={**out.obsm, "var:X_embedding": turned.obsm[embedding].withColumnRenamed("obs_id", "var_id")})
+    if tree is not None:
+        if tree not in turned.uns:
+            raise ValueError(f"no {tree!r}")
+        out = out.with_uns(metabin_community_tree=turned.uns[tree])
+    return out
+
+
+def same_grid(assays: Sequence[Assay]) -> list[Assay]:
+    """All assays with the grid and summary (``uns``) of the first one."""
+    first = {k: assays[0].uns[k] for k in ("grid", "summary")}
+    return [assays[0], *[a.with_uns(**first) for a in assays[1:]]]

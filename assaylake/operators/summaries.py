@@ -86,6 +86,28 @@ def scale_modalities(rows: DataFrame, modality: str, *, total: float = TOTAL, sq
     return rows.join(sums, modality).withColumn("value", F.sqrt(v) if sqrt else v).drop("_t")
 
 
+def summarize_modalities(layers: dict[str, DataFrame], features: DataFrame, obs: DataFrame, category: str, *, norm_per_modality: bool = True, per_class: str | None = None, sqrt: bool = False) -> DataFrame:
+    """(modality, category, obs_id, var_id, value): the chosen features of several layers, divided by category.
+
+    With ``per_class`` each class of cells is first scaled to one total, with
+    ``norm_per_modality`` then each modality; ``sqrt`` takes roots last.
+    """
+    parts = None
+    for name, coo in layers.items():
+        chosen = coo.join(features.select("var_id"), "var_id", "left_semi")
+        rows = membership(chosen, obs, category, per_class=per_class).select(F.lit(name).alias("modality"), category, "obs_id", "var_id", "value")
+        parts = rows if parts is None else parts.unionByName(rows)
+    if norm_per_modality:
+        return scale_modalities(parts, "modality", sqrt=sqrt)
+    return parts.withColumn("value", F.sqrt("value")) if sqrt else parts
+
+
+def modality_means(summary: DataFrame, obs: DataFrame, category: str) -> DataFrame:
+    """(modality, category, var_id, mean) of :func:`summarize_modalities`, over all cells of a category."""
+    sums = summary.groupBy("modality", category, "var_id").agg(F.sum("value").alias("_s"))
+    return sums.join(_sizes(obs, category), category).select("modality", category, "var_id", (F.col("_s") / F.col("_n")).alias("mean"))
+
+
 def classify_enrichment(coo: DataFrame, n_obs: Column, *, a: float, b: float, g: float, q: float) -> DataFrame:
     """(obs_id, var_id) where (x - a) / ((quantile_q + 1)^g - 1) > b.
 

@@ -60,3 +60,23 @@ BASE = f"with {QTY}, {OBS}, {VAR}"
 BRANDS = f"{BASE}, b as (select obs_id, brand as var_id, sum(value) as value from q join v using (var_id) group by 1, 2)"
 FRAGS = """f as (select event_type as chr, cast(floor(epoch(ts)) - (select floor(min(epoch(ts))) from events) as bigint) as s,
   cast(floor(epoch(ts)) - (select floor(min(epoch(ts))) from events) as bigint) + cast(floor(value) as bigint) as e, cast(user_id as varchar) as bc, event_id as id from events)"""
+
+
+def sql_two_sided(z: str) -> str:
+    """Two-sided tail of the normal distribution: 1 - erf(|z| / sqrt 2), erf by its series of positive terms."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    term = f"exp(-{x} * {x} + (2 * k + 1) * ln({x}) + 2 * k * ln(2.0) + lgamma(k + 1.0) - lgamma(2.0 * k + 2))"
+    return f"case when {x} > 9 then 0.0 when {x} > 0 then greatest(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 400), lambda k: {term})), 0) else 1.0 end"
+
+
+def sql_chi_tail(chi2: str) -> str:
+    """Upper tail of chi-square with one degree of freedom."""
+    return sql_two_sided(f"sqrt({chi2})")
+
+
+def sql_t_tail(t: str, df: str) -> str:
+    """Two-sided tail of Student's t: 1 - I_y(1/2, df/2) with y = t^2 / (df + t^2), by its series."""
+    y, b = f"({t} * {t} / ({df} + {t} * {t}))", f"({df} / 2.0)"
+    front = f"exp(0.5 * ln({y}) + {b} * ln(1 - {y}) - (lgamma(0.5) + lgamma({b}) - lgamma(0.5 + {b})) - ln(0.5))"
+    term = f"exp(lgamma(1.5) + lgamma(0.5 + {b} + k) - lgamma(1.5 + k) - lgamma(0.5 + {b}) + k * ln({y}))"
+    return f"case when {t} = 0 then 1.0 else greatest(1 - {front} * list_sum(list_transform(range(0, 400), lambda k: {term})), 0) end"

@@ -19,7 +19,7 @@ from assaylake.operators.kernels import benjamini_hochberg, midrank
 from assaylake.operators.layers import l2_norm
 from assaylake.operators.summaries import summarize_obs
 from assaylake.plans.scratch import Scratch
-from assaylake.queries._adapt import BASE, BRANDS, points, rounded, sql_round, supplier_brands, supplier_parts
+from assaylake.queries._adapt import BASE, BRANDS, points, rounded, sql_chi_tail, sql_round, sql_t_tail, sql_two_sided, supplier_brands, supplier_parts
 from assaylake.sources.tables import table
 
 QUERIES: dict = {}
@@ -65,53 +65,47 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderpriority").alias("k"), F.col("o_orderstatus").alias("g"), F.col("o_totalprice").alias("value"))
 
 
-@query(sql_round(f"select k, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)) as t, cast(na + nb - 2 as double) as df from ({_TT})", ["t", "df"], ["k"]))
+@query(sql_round(f"select *, {sql_t_tail('t', 'df')} as pval from (select k, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)) as t, cast(na + nb - 2 as double) as df from ({_TT}))", ["t", "df", "pval"], ["k"]))
 def ttest_student(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(T.t_test(_orders(spark, d), "g", "F", "O", by=["k"]).select("k", "t", "df"), "t", "df")
+    return rounded(T.t_test(_orders(spark, d), "g", "F", "O", by=["k"]).select("k", "t", "df", "pval"), "t", "df", "pval")
 
 
-@query(sql_round(f"select k, (ma - mb) / sqrt(va / na + vb / nb) as t, power(va / na + vb / nb, 2) / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1)) as df from ({_TT})", ["t", "df"], ["k"]))
+@query(sql_round(f"select *, {sql_t_tail('t', 'df')} as pval from (select k, (ma - mb) / sqrt(va / na + vb / nb) as t, power(va / na + vb / nb, 2) / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1)) as df from ({_TT}))", ["t", "df", "pval"], ["k"]))
 def ttest_welch(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(T.t_test(_orders(spark, d), "g", "F", "O", by=["k"], welch=True).select("k", "t", "df"), "t", "df")
+    return rounded(T.t_test(_orders(spark, d), "g", "F", "O", by=["k"], welch=True).select("k", "t", "df", "pval"), "t", "df", "pval")
 
 
-@query("""with r as (select o_orderpriority as k, o_orderstatus as g, rank() over (partition by o_orderpriority order by o_totalprice) + (count(*) over (partition by o_orderpriority, o_totalprice) - 1) / 2.0 as r from orders where o_orderstatus in ('F', 'O'))
-select k, cast(sum(r) filter (g = 'F') - count(*) filter (g = 'F') * (count(*) filter (g = 'F') + 1) / 2.0 as double) as u from r group by 1""")
+@query(sql_round(f"""with r as (select o_orderpriority as k, o_orderstatus as g, rank() over (partition by o_orderpriority order by o_totalprice) + (count(*) over (partition by o_orderpriority, o_totalprice) - 1) / 2.0 as r, count(*) over (partition by o_orderpriority, o_totalprice) as t from orders where o_orderstatus in ('F', 'O')),
+s as (select k, cast(sum(r) filter (g = 'F') as double) as r, cast(count(*) filter (g = 'F') as double) as a, cast(count(*) filter (g = 'O') as double) as b, cast(sum(t * t - 1) as double) as ties from r group by 1),
+u as (select k, r - a * (a + 1) / 2 as u, greatest(abs(r - a * (a + 1) / 2 - a * b / 2) - 0.5, 0) / sqrt(a * b / 12 * (a + b + 1 - ties / ((a + b) * (a + b - 1)))) as z from s)
+select k, u, {sql_two_sided('z')} as pval from u""", ["u", "pval"], ["k"]))
 def mwu_u(spark: SparkSession, d: str) -> DataFrame:
-    return T.mann_whitney(_orders(spark, d), "g", "F", "O", by=["k"]).select("k", "u")
+    return rounded(T.mann_whitney(_orders(spark, d), "g", "F", "O", by=["k"]).select("k", "u", "pval"), "u", "pval")
 
 
-@query("""with p as (select l_returnflag as k, round(l_quantity) - round(l_extendedprice / 1000) as x from lineitem), r as (select k, x, rank() over (partition by k order by abs(x)) + (count(*) over (partition by k, abs(x)) - 1) / 2.0 as r from p where x <> 0)
-select k, cast(least(sum(r) filter (x > 0), sum(r) filter (x < 0)) as double) as w, cast(count(*) as double) as n from r group by 1""")
+@query(sql_round(f"""with p as (select l_returnflag as k, round(l_quantity) - round(l_extendedprice / 1000) as x from lineitem), r as (select k, x, rank() over (partition by k order by abs(x)) + (count(*) over (partition by k, abs(x)) - 1) / 2.0 as r, count(*) over (partition by k, abs(x)) as t from p where x <> 0),
+s as (select k, cast(least(sum(r) filter (x > 0), sum(r) filter (x < 0)) as double) as w, cast(count(*) as double) as n, cast(sum(t * t - 1) as double) as ties from r group by 1), z as (select *, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) as z from s)
+select k, w, n, {sql_two_sided('z')} as pval from z""", ["w", "n", "pval"], ["k"]))
 def wilcoxon_w(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("k"), F.round("l_quantity").alias("a"), F.round(F.col("l_extendedprice") / 1000).alias("b"))
-    return T.wilcoxon(li, "a", "b", by=["k"]).select("k", "w", "n")
+    return rounded(T.wilcoxon(li, "a", "b", by=["k"]).select("k", "w", "n", "pval"), "w", "n", "pval")
 
 
 _CHI = f"""{BRANDS}, s as (select region as g, count(*) as gn from o group by 1), x as (select var_id, count(*) as t from b where value > 60 group by 1), y as (select region as g, var_id, count(*) as c from b join o using (obs_id) where value > 60 group by 1, 2),
 z as (select s.g as "group", x.var_id, coalesce(c, 0) as a, gn - coalesce(c, 0) as b, t - coalesce(c, 0) as c, (select count(*) from o) - gn - t + coalesce(c, 0) as d, gn, (select count(*) from o) - gn as rn from s cross join x left join y on y.g = s.g and y.var_id = x.var_id)"""
 
 
-@query(sql_round(f"""{_CHI} select "group", var_id, case when (a + b) * (c + d) * (a + c) * (b + d) > 0 then (a + b + c + d) * power(greatest(abs(a * d - b * c) - (a + b + c + d) / 2.0, 0), 2) / ((a + b) * (c + d) * (a + c) * (b + d)) end as chi2, log2(((1.0 + a) / gn) / ((1.0 + c) / rn)) as score from z""", ["chi2", "score"], ['"group"', "var_id"]))
+@query(sql_round(f"""{_CHI} select *, case when chi2 is null then 1.0 else {sql_chi_tail('chi2')} end as pval from (select "group", var_id, case when (a + b) * (c + d) * (a + c) * (b + d) > 0 then (a + b + c + d) * power(greatest(abs(a * d - b * c) - (a + b + c + d) / 2.0, 0), 2) / ((a + b) * (c + d) * (a + c) * (b + d)) end as chi2, log2(((1.0 + a) / gn) / ((1.0 + c) / rn)) as score from z)""", ["chi2", "score", "pval"], ['"group"', "var_id"]))
 def chi2_yates(spark: SparkSession, d: str) -> DataFrame:
     a = supplier_brands(spark, d)
-    return rounded(T.enriched_binary(a.layer("qty"), a.obs, "region", above=60).select("group", "var_id", "chi2", "score"), "chi2", "score")
-
-
-@query(f"""{BASE}, x as (select p.var_id, o.obs_id, o.region as g, coalesce(q.value, 0) as value from (select var_id from v where size = 10 and var_id in (select var_id from q)) p cross join o left join q on q.var_id = p.var_id and q.obs_id = o.obs_id),
-r as (select var_id, g, rank() over (partition by var_id order by value) + (count(*) over (partition by var_id, value) - 1) / 2.0 as r from x)
-select var_id, g as region, cast(sum(r) as double) as rank_sum from r group by 1, 2 having (var_id, g) in (select (q.var_id, o.region) from q join o using (obs_id))""")
-def sparse_rank_sums(spark: SparkSession, d: str) -> DataFrame:
-    a = supplier_parts(spark, d)
-    coo = a.layer("qty").join(a.var.where("size = 10").select("var_id"), "var_id", "left_semi")
-    return T.sparse_rank_sums(coo, a.obs, "region", a.obs.agg(F.count(F.lit(1))).scalar())
+    return rounded(T.enriched_binary(a.layer("qty"), a.obs, "region", above=60).select("group", "var_id", "chi2", "score", "pval"), "chi2", "score", "pval")
 
 
 @query(f"""{BASE}, c as (select region as g, count(*) as n from o group by 1), x as (select q.var_id, o.region as g, value from q join o using (obs_id) where value > 0),
 r as (select var_id, g, rank() over (partition by var_id order by value) + (count(*) over (partition by var_id, value) - 1) / 2.0 as r, (select count(*) from o) - count(*) over (partition by var_id) as z from x)
 select var_id, g as region, cast(sum(r + z) + (any_value(c.n) - count(*)) * (any_value(z) + 1) / 2.0 as double) as rank_sum from r join c using (g) group by 1, 2""")
-def sparse_rank_sums_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same for every part; the SQL counts the block of zeros instead of forming it."""
+def sparse_rank_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Every part; the SQL counts the block of zeros instead of forming it."""
     a = supplier_parts(spark, d)
     return T.sparse_rank_sums(a.layer("qty"), a.obs, "region", a.obs.agg(F.count(F.lit(1))).scalar())
 
@@ -192,11 +186,12 @@ def likelihood_markers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql_round(f"""{BRANDS}, x as (select y.var_id, o.obs_id, o.region as g, coalesce(b.value, 0) as value from (select distinct var_id from b) y cross join o left join b on b.var_id = y.var_id and b.obs_id = o.obs_id),
 r as (select var_id, g, value, rank() over (partition by var_id order by value) + (count(*) over (partition by var_id, value) - 1) / 2.0 as r from x),
-t as (select var_id, g, sum(r) - count(*) * (count(*) + 1) / 2.0 as u1, count(*) * ((select count(*) from o) - count(*)) * 1.0 as nn from r group by 1, 2 having max(value) > 0)
-select g as "group", var_id, least(u1, nn - u1) as u, case when u1 > 0 then ln(u1 / (nn / 2)) end as score from t""", ["u", "score"], ['"group"', "var_id"]))
+t as (select var_id, g, sum(r) - count(*) * (count(*) + 1) / 2.0 as u1, count(*) * ((select count(*) from o) - count(*)) * 1.0 as nn from r group by 1, 2 having max(value) > 0),
+z as (select *, (least(u1, nn - u1) - nn / 2) / sqrt(nn * ((select count(*) from o) + 1) / 12) as z from t)
+select g as "group", var_id, least(u1, nn - u1) as u, case when u1 > 0 then ln(u1 / (nn / 2)) end as score, {sql_two_sided('z')} as pval from z""", ["u", "score", "pval"], ['"group"', "var_id"]))
 def enriched_ranks(spark: SparkSession, d: str) -> DataFrame:
     a = supplier_brands(spark, d)
-    return rounded(T.enriched_ranks(a.layer("qty"), a.obs, "region").select("group", "var_id", "u", "score"), "u", "score")
+    return rounded(T.enriched_ranks(a.layer("qty"), a.obs, "region").select("group", "var_id", "u", "score", "pval"), "u", "score", "pval")
 
 
 # neighbours, communities
@@ -235,22 +230,6 @@ def knn_regress(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.knn_regress(G.knn_exact(p, p, 3), p.select("id", F.col("label").cast("double").alias("value"))), "predicted")
 
 
-_GRAPH = """g as (select cast(o_custkey % 50 as varchar) as src, cast(o_orderkey % 50 as varchar) as dst, 1.0 + count(*) as weight from orders where o_custkey % 50 <> o_orderkey % 50 group by 1, 2)"""
-
-
-def _order_graph(spark: SparkSession, d: str) -> DataFrame:
-    """A small weighted graph: customer and order buckets."""
-    o = table(spark, d, "orders").select((F.col("o_custkey") % 50).cast("string").alias("src"), (F.col("o_orderkey") % 50).cast("string").alias("dst"))
-    return o.where("src <> dst").groupBy("src", "dst").agg((F.lit(1.0) + F.count(F.lit(1))).alias("weight"))
-
-
-@query(sql_round(f"""{BRANDS}, {_GRAPH}, c as (select dst, sum(weight) as s from g group by 1), a as (select g.src, g.dst, weight / x.s / y.s as w from g join c x on x.dst = g.src join c y on y.dst = g.dst),
-t as (select obs_id, sum(value) as s from b group by 1), n as (select obs_id, var_id, 1000 * value / s as value from b join t using (obs_id))
-select obs_id, var_id, sum(value) as value from (select a.src as obs_id, n.var_id, 0.6 * w * n.value as value from a join n on n.obs_id = a.dst union all select obs_id, var_id, 0.4 * value from b) group by 1, 2""", ["value"], ["obs_id", "var_id"]))
-def knn_impute(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(G.knn_impute(_order_graph(spark, d), supplier_brands(spark, d).layer("qty")), "value")
-
-
 def _linked(neighbours: DataFrame) -> DataFrame:
     """Both directions of all pairs of a neighbour table, weighted by 1 / (1 + distance)."""
     u = G.undirected(neighbours.select("src", "dst", (1 / (1 + F.col("distance"))).alias("weight")))
@@ -276,7 +255,7 @@ d as (select a.obs_id as src, c.obs_id as dst, sqrt(sum((a.x - c.x) ** 2)) as di
 @query(sql_round(f"""{_SUPPLIERS}, c as (select dst, sum(weight) as s from g group by 1), a as (select g.src, g.dst, weight / x.s / y.s as w from g join c x on x.dst = g.src join c y on y.dst = g.dst),
 t as (select obs_id, sum(value) as s from b group by 1), n as (select obs_id, var_id, 1000 * value / s as value from b join t using (obs_id))
 select obs_id, var_id, sum(value) as value from (select a.src as obs_id, n.var_id, 0.6 * w * n.value as value from a join n on n.obs_id = a.dst union all select obs_id, var_id, 0.4 * value from b) group by 1, 2""", ["value"], ["obs_id", "var_id"]))
-def knn_impute_all(spark: SparkSession, d: str) -> DataFrame:
+def knn_impute(spark: SparkSession, d: str) -> DataFrame:
     """Every supplier is smoothed over the ten suppliers with the most similar brands."""
     a = supplier_brands(spark, d)
     grid = a.obs.select("obs_id").join(a.var, how="cross").join(a.layer("qty"), ["obs_id", "var_id"], "left")
@@ -292,32 +271,14 @@ def silhouette(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.silhouettes(points(spark, d).select("id", "vec", F.col("label").alias("cluster"))), "silhouette")
 
 
-_UND = f"with {_GRAPH}, u as (select distinct least(src, dst) as src, greatest(src, dst) as dst from g), m as (select cast(i as varchar) as id, i % 4 as community from range(50) t(i))"
-
-
-@query(f"{_UND} select least(a.community, b.community) as ca, greatest(a.community, b.community) as cb, count(*) as n_edges from u join m a on a.id = src join m b on b.id = dst group by 1, 2")
-def community_edges(spark: SparkSession, d: str) -> DataFrame:
-    m = spark.range(50).select(F.col("id").cast("string").alias("id"), (F.col("id") % 4).alias("community"))
-    return C.contract(_order_graph(spark, d), m)
-
-
-@query(sql_round(f"""with {_GRAPH}, s as (select src, dst, weight from g union all select dst, src, weight from g), m as (select cast(i as varchar) as id, i % 4 as community from range(50) t(i)), t as (select sum(weight) as w from s),
-x as (select a.community as c, sum(case when a.community = b.community then weight else 0 end) as i, sum(weight) as k from s join m a on a.id = src join m b on b.id = dst group by 1) select sum(i / w - (k / w) ** 2) as modularity from x, t""", ["modularity"]))
-def partition_modularity(spark: SparkSession, d: str) -> DataFrame:
-    g = _order_graph(spark, d)
-    both = g.unionByName(g.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    m = spark.range(50).select(F.col("id").cast("string").alias("id"), (F.col("id") % 4).alias("community"))
-    return rounded(C.modularity(both, m), "modularity")
-
-
 @query(f"{_NEAR} select least(a.community, b.community) as ca, greatest(a.community, b.community) as cb, count(*) as n_edges from u join m a on a.id = src join m b on b.id = dst group by 1, 2")
-def community_edges_all(spark: SparkSession, d: str) -> DataFrame:
+def community_edges(spark: SparkSession, d: str) -> DataFrame:
     return C.contract(_neighbour_graph(spark, d), _labels(spark, d))
 
 
 @query(sql_round(f"""{_NEAR}, t as (select sum(weight) as w from g), x as (select a.community as c, sum(case when a.community = b.community then weight else 0 end) as i, sum(weight) as k from g join m a on a.id = src join m b on b.id = dst group by 1)
 select sum(i / w - (k / w) ** 2) as modularity from x, t""", ["modularity"]))
-def partition_modularity_all(spark: SparkSession, d: str) -> DataFrame:
+def partition_modularity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.modularity(_neighbour_graph(spark, d), _labels(spark, d)), "modularity")
 
 
@@ -330,19 +291,10 @@ def dbscan_core(spark: SparkSession, d: str) -> DataFrame:
     return C.dbscan(p, G.radius_graph(p, 1.15), min_samples=3)
 
 
-@query(sql_round(f"""{_UND}, a as (select i as n, cast(i as varchar) as id from range(50) t(i) where i % 3 > 0), s as (select src, dst from u union all select dst, src from u), i as (select * from s where src in (select id from a) and dst in (select id from a)),
-d as (select a.id, count(i.src) as k from a left join i on i.src = a.id group by 1), p as (select k, count(*) * 1.0 / (select count(*) from d) as p from d group by 1),
-q as (select p.k, coalesce(x.k * x.p, 0) as q from p left join p x on x.k = p.k + 1), z as (select k, q / (select nullif(sum(q), 0) from q) as q from q), mm as (select sum(k * q) as m, sum(k * k * q) as m2 from z),
-e as (select sum(x.q * y.q) as s from i join d dx on dx.id = i.src join d dy on dy.id = i.dst join z x on x.k = dx.k join z y on y.k = dy.k) select (s - m * m) / nullif(m2 - m * m, 0) as assortativity from e, mm""", ["assortativity"]))
-def assortativity(spark: SparkSession, d: str) -> DataFrame:
-    active = spark.range(50).where("id % 3 > 0").select(F.col("id").cast("string").alias("id"))
-    return rounded(C.assortativity(_order_graph(spark, d), active), "assortativity")
-
-
 @query(sql_round(f"""{_NEAR}, c as (select src as id, count(*) as k from g group by 1), p as (select k, count(*) * 1.0 / (select count(*) from c) as p from c group by 1),
 q as (select p.k, coalesce(x.k * x.p, 0) as q from p left join p x on x.k = p.k + 1), z as (select k, q / (select nullif(sum(q), 0) from q) as q from q), mm as (select sum(k * q) as m, sum(k * k * q) as m2 from z),
 y as (select sum(a.q * b.q) as s from g join c i on i.id = g.src join c j on j.id = g.dst join z a on a.k = i.k join z b on b.k = j.k) select (s - m * m) / nullif(m2 - m * m, 0) as assortativity from y, mm""", ["assortativity"]))
-def assortativity_all(spark: SparkSession, d: str) -> DataFrame:
+def assortativity(spark: SparkSession, d: str) -> DataFrame:
     """With every node active."""
     return rounded(C.assortativity(_neighbour_graph(spark, d), points(spark, d).select("id")), "assortativity")
 
@@ -359,10 +311,15 @@ def label_propagation(spark: SparkSession, d: str) -> DataFrame:
     return C.label_propagation(p.select("id"), G.fuzzy_simplicial_set(G.knn_exact(p, p, 10)))
 
 
-@query()
+@query(sql_round(f"""{_DIST.replace("with e as", "with recursive e as")}, k as (select src, list(distance order by "rank") as ds, coalesce(min(distance) filter (distance > 0), 0) as rho, log2(count(*) + 1) as target from r where "rank" <= 10 group by 1),
+it(src, i, lo, hi, mid, s) as (select src, 0, 0.0::double, 'inf'::double, 1.0::double, null::double from k
+  union all select src, i + 1, case when v <= target then mid else lo end, case when v > target then mid else hi end, case when v > target then (lo + mid) / 2 when hi = 'inf'::double then mid * 2 else (mid + hi) / 2 end, v
+    from (select it.*, k.target, list_sum(list_transform(k.ds, lambda x: exp(-greatest(x - k.rho, 0) / it.mid))) as v from it join k using (src)) where i < 64 and abs(v - target) >= 1e-5),
+f as (select src, arg_max(mid, i) as mid from it group by 1), w as (select r.src, r.dst, exp(-greatest(distance - rho, 0) / mid) as w from r join k using (src) join f using (src) where "rank" <= 10), b as (select * from w union all select dst, src, w from w)
+select src, dst, case when count(*) = 1 then max(w) else sum(w) - max(w) * min(w) end as weight from b group by 1, 2""", ["weight"], ["src", "dst"], 5))
 def fuzzy_graph(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
-    return G.fuzzy_simplicial_set(G.knn_exact(p, p, 10))
+    return rounded(G.fuzzy_simplicial_set(G.knn_exact(p, p, 10)), "weight", digits=5)
 
 
 @query()
@@ -384,7 +341,8 @@ def cocluster_summaries(spark: SparkSession, d: str) -> DataFrame:
     return U.cocluster_summaries(_columns(spark, d))
 
 
-@query()
+@query(f"""{BRANDS}, a as (select var_id, obs_id, cast(obs_id as bigint) as k from b where value > 300), g as (select *, k - row_number() over (partition by var_id order by k) as island from a),
+n as (select *, count(*) over (partition by var_id, island) as n, min(obs_id) over (partition by var_id, island) as cluster from g) select var_id, obs_id, cluster from n where n > 1""")
 def active_subclusters(spark: SparkSession, d: str) -> DataFrame:
     """Connected groups of suppliers that sell much of a brand, on the graph of neighbouring keys."""
     a = supplier_brands(spark, d)
@@ -416,13 +374,8 @@ def _positive_brands(spark: SparkSession, d: str) -> DataFrame:
     return l2_norm(supplier_brands(spark, d).layer("qty"))
 
 
-@query(sql_round(f"""with {_GRAPH}, q as (select dst, sum(weight) as q from g group by 1), k as (select g.src, g.dst, weight / a.q / b.q as w from g join q a on a.dst = g.src join q b on b.dst = g.dst), z as (select dst, sqrt(sum(w)) as z from k group by 1) select k.src, k.dst, w / a.z / b.z as weight from k join z a on a.dst = k.src join z b on b.dst = k.dst""", ["weight"], ["src", "dst"]))
-def diffusion_transitions(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(E.diffusion_transitions(_order_graph(spark, d)), "weight")
-
-
 @query(sql_round(f"""{_NEAR}, q as (select dst, sum(weight) as q from g group by 1), k as (select g.src, g.dst, weight / a.q / b.q as w from g join q a on a.dst = g.src join q b on b.dst = g.dst), z as (select dst, sqrt(sum(w)) as z from k group by 1) select k.src, k.dst, w / a.z / b.z as weight from k join z a on a.dst = k.src join z b on b.dst = k.dst""", ["weight"], ["src", "dst"]))
-def diffusion_transitions_all(spark: SparkSession, d: str) -> DataFrame:
+def diffusion_transitions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.diffusion_transitions(_neighbour_graph(spark, d)), "weight")
 
 
@@ -431,28 +384,18 @@ def diffusion_map(spark: SparkSession, d: str) -> DataFrame:
     return E.diffusion_map(_neighbour_graph(spark, d), 4)[1]
 
 
-_EIG = (0.99995, 0.9, 0.5, 0.25)
-
-
-@query(sql_round("""with e as (select vec_id as id, cast(embedding[1] as double) as a, cast(embedding[2] as double) as b, cast(embedding[3] as double) as c, cast(embedding[4] as double) as d from embeddings), r as (select * from e where id = 0),
-x as (select e.id, sqrt((e.a - r.a) ** 2 + 81 * (e.b - r.b) ** 2 + (e.c - r.c) ** 2 + (e.d - r.d) ** 2 / 9) as t from e, r) select id, t / (select max(t) from x) as pseudotime from x""", ["pseudotime"], ["id"]))
+@query(sql_round("""with e as (select vec_id as id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings), r as (select v as o from e where id = 0),
+x as (select id, sqrt(list_sum(list_transform(list_zip(v, o, range(len(v))), lambda z: (z[1] - z[2]) ** 2 * case when z[3] = 0 then 1.0 else 1.0 / (z[3] + 1) ** 2 end))) as t from e, r) select id, t / (select max(t) from x) as pseudotime from x""", ["pseudotime"], ["id"]))
 def dpt_given_basis(spark: SparkSession, d: str) -> DataFrame:
-    basis = points(spark, d).select("id", F.slice("vec", 1, 4).alias("vec"))
-    return rounded(E.diffusion_pseudotime(basis, list(_EIG), 0), "pseudotime")
-
-
-@query(sql_round(f"""with {_GRAPH}, s as (select src, dst from g union all select dst, src from g), c as (select cast(i as varchar) as obs_id, i % 4 as community, i / 10.0 as time from range(50) t(i)), l as (select obs_id, community / 3.0 as position from c where community < 4 and cast(obs_id as int) < 25),
-x as (select community, avg(position) as x from s join c on c.obs_id = s.src join l on l.obs_id = s.dst group by 1) select obs_id, coalesce(x, 0) as x, -time as y from c left join x using (community)""", ["x", "y"], ["obs_id"]))
-def landscape_coarse(spark: SparkSession, d: str) -> DataFrame:
-    cells = spark.range(50).select(F.col("id").cast("string").alias("obs_id"), (F.col("id") % 4).alias("community"), (F.col("id") / 10).alias("time"))
-    order = spark.range(4).select(F.col("id").alias("community"), F.col("id").alias("position"))
-    leaves = E.scaffold(cells.where("cast(obs_id as int) < 25"), order)
-    return rounded(E.coarse_landscape(_order_graph(spark, d), cells, leaves), "x", "y")
+    """All components, with eigenvalues 1/2, 1/3, ... after the first: weights of 1/2^2, 1/3^2, ..."""
+    basis = points(spark, d).select("id", "vec")
+    width = basis.select(F.size("vec").alias("n")).first().n
+    return rounded(E.diffusion_pseudotime(basis, [0.99995] + [1 / (i + 2) for i in range(1, width)], 0), "pseudotime")
 
 
 @query(sql_round(f"""{_NEAR}, l as (select id, community * 1.0 / (select nullif(max(community), 0) from m) as position from m), x as (select community, avg(coalesce(position, 0)) as x from g join m on m.id = g.src join l on l.id = g.dst group by 1)
 select e.id as obs_id, coalesce(x, 0) as x, -vec[1] as y from e join m using (id) left join x using (community)""", ["x", "y"], ["obs_id"]))
-def landscape_coarse_all(spark: SparkSession, d: str) -> DataFrame:
+def landscape_coarse(spark: SparkSession, d: str) -> DataFrame:
     """Every label is a leaf community; the first component stands for time."""
     p = points(spark, d)
     cells = p.select(F.col("id").alias("obs_id"), F.col("label").alias("community"), F.get("vec", 0).alias("time"))
@@ -463,7 +406,8 @@ def landscape_coarse_all(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def umap_layout(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
-    return E.umap(G.fuzzy_simplicial_set(G.knn_exact(p, p, 10)), p.select("id", F.slice("vec", 1, 2).alias("vec")))
+    start = E.pca(p.select(F.col("id").alias("obs_id"), "vec"), 2)[1].withColumnRenamed("obs_id", "id")
+    return E.umap(G.fuzzy_simplicial_set(G.knn_exact(p, p, 10)), start)
 
 
 @query(sql_round("""with g as (select o_orderstatus as k, min(o_totalprice) as lo, case when max(o_totalprice) - min(o_totalprice) < 4e-5 then 1 else max(o_totalprice) - min(o_totalprice) end as span from orders group by 1), a as (select min(o_totalprice) as lo, max(o_totalprice) as hi from orders)
@@ -533,8 +477,8 @@ def grid_slice(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def grid_smoothed(spark: SparkSession, d: str) -> DataFrame:
     px = _pixels(spark, d)
-    z = D.smooth_pixels(D.grid_numerical(supplier_brands(spark, d).layer("qty"), px, 0), px.select("ix", "iy").distinct(), _RES, sigma=1.0)
-    return D.rescale_pixels(z)
+    z = D.grid_numerical(supplier_brands(spark, d).layer("qty"), px, 0)
+    return D.transform_grid(z, px.select("ix", "iy").distinct(), _RES, gauss=(1.0, 1.0), all_feature_q=0.99, winsor_low=0.05, winsor_high=0.95, upscale=2)
 
 
 @query(sql_round("""with e as (select event_type, epoch(ts) as x, value from events where value is not null), m as (select min(x) as lo, max(x) as hi from e) select event_type, cast(least(floor((x - lo) / 86400), greatest(ceil((hi - lo) / 86400) - 1, 0)) as int) as bin, avg(value) as mean, count(*) as n from e, m group by 1, 2""", ["mean"], ["event_type", "bin", "n"]))
@@ -543,10 +487,16 @@ def binned_mean(spark: SparkSession, d: str) -> DataFrame:
     return rounded(D.binned_mean(e, "x", "value", 86400.0, by=["event_type"]), "mean")
 
 
-@query()
+_KERNEL = "k as (select i, exp(-0.5 * (i / 2.0) ** 2) as w from (select unnest(range(-8, 9)) as i)), kn as (select i, w / (select sum(w) from k) as w from k)"
+
+
+@query(sql_round(f"""with e as (select event_type, epoch(ts) as x, value from events where value is not null), m as (select min(x) as lo, max(x) as hi from e), c as (select event_type, cast(least(floor((x - lo) / 86400), greatest(ceil((hi - lo) / 86400) - 1, 0)) as int) as bin, avg(value) as y from e, m group by 1, 2),
+r as (select *, row_number() over (partition by event_type order by bin) - 1 as i, count(*) over (partition by event_type) as n from c), {_KERNEL},
+t as (select r.event_type, r.bin, r.n, kn.w, (r.i + kn.i) as j from r, kn), u as (select *, ((j % (2 * n)) + 2 * n) % (2 * n) as j2 from t)
+select u.event_type, u.bin, sum(u.w * r.y) as smoothed from u join r on r.event_type = u.event_type and r.i = case when j2 < u.n then j2 else 2 * u.n - 1 - j2 end group by 1, 2""", ["smoothed"], ["event_type", "bin"]))
 def smoothed_curve(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("x"), "value")
-    return D.smooth_bins(D.binned_mean(e, "x", "value", 86400.0, by=["event_type"]), 2.0, by=["event_type"])
+    return rounded(D.smooth_bins(D.binned_mean(e, "x", "value", 86400.0, by=["event_type"]), 2.0, by=["event_type"]), "smoothed")
 
 
 @query(sql_round(f"{_GZ}, nr as (select region, count(*) as k from o group by 1), e as (select region, var_id, sum(b.value) / any_value(k) as exp from b join o using (obs_id) join nr using (region) group by 1, 2), c2 as (select region, var_id, case when isfinite(corr(z, t)) then corr(z, t) end as res from f group by 1, 2 having max(z) > 0) select region, var_id, res, coalesce(exp, 0) as exp from c2 left join e using (region, var_id)", ["res", "exp"], ["region", "var_id"]))
@@ -563,17 +513,22 @@ def time_curve(spark: SparkSession, d: str) -> DataFrame:
 
 # ontology
 
-_TERMS = [(f"T{i}", f"term {i}", ("MF", "CC", "BP")[0 if i < 6 else 1 if i < 9 else 2]) for i in range(12)]
-_EDGES = [(1, 0), (2, 0), (3, 1), (3, 2), (4, 1), (5, 3), (7, 6), (8, 7), (10, 9), (11, 9)]
-_DAG = "t(go, name, ns) as (values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _TERMS) + "), g(child, parent) as (values " + ", ".join(f"('T{a}', 'T{b}')" for a, b in _EDGES) + "), r(go, ancestor) as (select go, go from t union select r.go, g.parent from r join g on g.child = r.ancestor)"
-_ASSOC = "a as (select distinct t.ns, cast(p_partkey as varchar) as gene, t.go from part join t on t.go = 'T' || (p_partkey % 12)), ap as (select distinct a.ns, a.gene, r.ancestor as go from a join r on r.go = a.go)"
+# Three trees of terms with two ways up, one term for each ten parts: term i is number i // 3 of the tree i % 3,
+# and lies below the numbers half and a third of its own.
+_DAG = """i as (select unnest(range((select count(*) // 10 from part))) as i), t(go, name, ns) as (select 'T' || i, 'term ' || i, ['MF', 'CC', 'BP'][i % 3 + 1] from i),
+g(child, parent) as (select distinct 'T' || i, 'T' || (3 * ((i // 3) // p) + i % 3) from i, (values (2), (3)) w(p) where i >= 3), r(go, ancestor) as (select go, go from t union select r.go, g.parent from r join g on g.child = r.ancestor)"""
+_ASSOC = "a as (select distinct t.ns, cast(p_partkey as varchar) as gene, t.go from part join t on t.go = 'T' || (p_partkey % (select count(*) from i))), ap as (select distinct a.ns, a.gene, r.ancestor as go from a join r on r.go = a.go)"
 
 
 def _ontology(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
-    terms = spark.createDataFrame(_TERMS, "go string, name string, ns string")
-    edges = spark.createDataFrame([(f"T{a}", f"T{b}") for a, b in _EDGES], "child string, parent string")
     part = table(spark, d, "part")
-    assoc = part.select(F.col("p_partkey").cast("string").alias("gene"), F.concat(F.lit("T"), (F.col("p_partkey") % 12).cast("string")).alias("go")).join(terms.select("go", "ns"), "go").select("ns", "gene", "go").distinct()
+    n = part.count() // 10
+    i = F.col("id")
+    name = lambda c: F.concat(F.lit("T"), c.cast("string"))
+    terms = spark.range(n).select(name(i).alias("go"), F.concat(F.lit("term "), i.cast("string")).alias("name"), F.element_at(F.array(F.lit("MF"), F.lit("CC"), F.lit("BP")), (i % 3 + 1).cast("int")).alias("ns"))
+    up = lambda p: 3 * F.floor(F.floor(i / 3) / p) + i % 3
+    edges = spark.range(3, n).select(name(i).alias("child"), F.explode(F.array_distinct(F.array(name(up(2)), name(up(3))))).alias("parent"))
+    assoc = part.select(F.col("p_partkey").cast("string").alias("gene"), name(F.col("p_partkey") % n).alias("go")).join(terms.select("go", "ns"), "go").select("ns", "gene", "go").distinct()
     population = part.where("p_size <= 40").select(F.col("p_partkey").cast("string").alias("gene"))
     study = part.where("p_size < 12").select(F.col("p_brand").alias("study"), F.col("p_partkey").cast("string").alias("gene"))
     return terms, edges, assoc, population, study
@@ -602,9 +557,20 @@ def go_infer_layer(spark: SparkSession, d: str) -> DataFrame:
     return rounded(O.go_infer_layer(supplier_parts(spark, d).layer("qty"), terms, edges, assoc, population, names), "value")
 
 
-@query()
+_LOG_CHOOSE = "(lgamma(pc + 1.0) - lgamma(x + 1.0) - lgamma(pc - x + 1.0) + lgamma(n - pc + 1.0) - lgamma(sn - x + 1.0) - lgamma(n - pc - sn + x + 1.0) - lgamma(n + 1.0) + lgamma(sn + 1.0) + lgamma(n - sn + 1.0))"
+
+
+@query(sql_round(f"""with recursive {_DAG}, {_ASSOC}, pop as (select cast(p_partkey as varchar) as gene from part where p_size <= 40), s as (select p_brand as study, cast(p_partkey as varchar) as gene from part where p_size < 12),
+p as (select ns, go, count(distinct gene) as pc from ap where gene in (select gene from pop) group by 1, 2), k as (select study, ns, go, count(distinct gene) as sc from ap join s using (gene) group by 1, 2, 3), m as (select study, count(*) as sn from s group by 1),
+c as (select study, ns, go, sc, pc, sn, (select count(*) from pop) as n from k join p using (ns, go) join m using (study)), e as (select distinct sc, pc, sn, n from c),
+w as (select e.*, x, {_LOG_CHOOSE} as lp from (select *, unnest(range(greatest(0, sn + pc - n), least(sn, pc) + 1)) as x from e) e), o as (select sc, pc, sn, n, lp as seen from w where x = sc),
+f as (select sc, pc, sn, n, least(1, sum(exp(lp)) filter (lp <= seen + 1e-7)) as p from w join o using (sc, pc, sn, n) group by 1, 2, 3, 4), q as (select * from c join f using (sc, pc, sn, n)),
+b as (select *, round(p, 12) as rp, rank() over (partition by study, ns order by round(p, 12)) + count(*) over (partition by study, ns, round(p, 12)) - 1 as i, count(*) over (partition by study, ns) as all_n from q),
+up(go, depth) as (select go, 0 from t union select g.child, up.depth + 1 from up join g on g.parent = up.go)
+select study, ns as "NS", b.go as "GO", 'term ' || substring(b.go, 2) as name, cast(z.depth as int) as depth, sc * 1.0 / sn > pc * 1.0 / n as enriched, pc as pop_count, sc as study_count, least(1, min(p * all_n / i) over (partition by study, ns order by rp range between current row and unbounded following)) as p_corrected, p as p_uncorrected
+from b join (select go, max(depth) as depth from up group by 1) z using (go)""", ["p_corrected", "p_uncorrected"], ["study", '"NS"', '"GO"', "name", "depth", "enriched", "pop_count", "study_count"]))
 def go_enrichment(spark: SparkSession, d: str) -> DataFrame:
-    return O.enrichment(*_ontology(spark, d), include_not_significant=True)
+    return rounded(O.enrichment(*_ontology(spark, d), include_not_significant=True), "p_corrected", "p_uncorrected")
 
 
 # hidden Markov models

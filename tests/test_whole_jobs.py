@@ -34,24 +34,24 @@ def linked(spark, data):
 def test_graph_queries_take_every_embedding(spark, data, linked):
     ids, labels, w = linked
     assert {r.id for r in analysis.QUERIES["diffusion_map"](spark, data).collect()} == set(ids)
-    edges = analysis.QUERIES["community_edges_all"](spark, data).collect()
+    edges = analysis.QUERIES["community_edges"](spark, data).collect()
     assert sum(r.n_edges for r in edges) == (w > 0).sum() // 2 and {c for r in edges for c in (r.ca, r.cb)} == set(labels.tolist())
     same = labels[:, None] == labels[None]
     share = w.sum(1) / w.sum()
     want = (w * same).sum() / w.sum() - (np.outer(share, share) * same).sum()
-    assert abs(analysis.QUERIES["partition_modularity_all"](spark, data).first().modularity - want) < 1e-5
+    assert abs(analysis.QUERIES["partition_modularity"](spark, data).first().modularity - want) < 1e-5
     q = w / w.sum(0)[:, None] / w.sum(0)
     t = q / np.sqrt(q.sum(0))[:, None] / np.sqrt(q.sum(0))
-    got = analysis.QUERIES["diffusion_transitions_all"](spark, data).collect()
+    got = analysis.QUERIES["diffusion_transitions"](spark, data).collect()
     at = {v: i for i, v in enumerate(ids)}
     assert len(got) == (w > 0).sum() and all(abs(t[at[r.src], at[r.dst]] - r.weight) < 1e-5 for r in got)
-    assert {r.obs_id for r in analysis.QUERIES["landscape_coarse_all"](spark, data).collect()} == set(ids)
+    assert {r.obs_id for r in analysis.QUERIES["landscape_coarse"](spark, data).collect()} == set(ids)
 
 
 def test_every_supplier_is_smoothed(spark, data):
     wide = data.replace("sf0.001", "sf0.01")
     own = {(r.obs_id, r.var_id): 0.4 * r.value for r in supplier_brands(spark, wide).layer("qty").collect()}
-    moved = {r.obs_id for r in analysis.QUERIES["knn_impute_all"](spark, wide).collect() if abs(own.get((r.obs_id, r.var_id), 0.0) - r.value) > 1e-5}
+    moved = {r.obs_id for r in analysis.QUERIES["knn_impute"](spark, wide).collect() if abs(own.get((r.obs_id, r.var_id), 0.0) - r.value) > 1e-5}
     assert moved == {o for o, _ in own} and len(moved) > 50
 
 
@@ -61,7 +61,7 @@ def test_rank_sums_of_every_part(spark, data):
     values = {}
     for r in a.layer("qty").collect():
         values.setdefault(r.var_id, {})[r.obs_id] = r.value
-    got = {(r.var_id, r.region): r.rank_sum for r in analysis.QUERIES["sparse_rank_sums_all"](spark, data).collect()}
+    got = {(r.var_id, r.region): r.rank_sum for r in analysis.QUERIES["sparse_rank_sums"](spark, data).collect()}
     assert {v for v, _ in got} == set(values)
     for (v, g), total in got.items():
         col = np.array([values[v].get(o, 0.0) for o in cells])
@@ -127,7 +127,7 @@ def test_a_chromosome_without_a_length_is_unknown(spark):
 
 def test_links_of_every_line_item(spark, data):
     want = {(str(r.l_suppkey), str(r.l_partkey)) for r in table(spark, data, "lineitem").select("l_suppkey", "l_partkey").collect()}
-    assert {(r.name, r.binname) for r in assay.QUERIES["regulatory_matrix_all"](spark, data).collect()} == want
+    assert {(r.name, r.binname) for r in assay.QUERIES["regulatory_matrix"](spark, data).collect()} == want
 
 
 def test_scratch_tables(spark, tmp_path):
