@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.operators.kernels import midrank
+from assaylake.operators.kernels import correlation, midrank
 from assaylake.plans.scratch import Scratch
 
 TINY = 1e-8
@@ -251,7 +251,7 @@ def bootstrap_correlation(pairs: DataFrame, by: str, *, q: float | None = 0.1, i
         low = rows.agg(F.least(F.min("x"), F.min("y"))).scalar()
         rows = rows.join(ends, by).where((low < 0) | (F.col("x") != F.col("_x")) | (F.col("y") != F.col("_y"))).select(by, "x", "y")
     if q is None:
-        return rows.groupBy(by).agg(F.corr("x", "y").alias("res")).select(by, F.coalesce(F.when(~F.isnan("res"), F.col("res")), F.lit(0.0)).alias("res"))
+        return rows.groupBy(by).agg(correlation("x", "y").alias("res")).na.fill(0.0, ["res"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed)
@@ -275,7 +275,7 @@ def lagged_correlation(pairs: DataFrame, by: list[str], *, lag: int = 0, spearma
     if spearman:
         both = midrank(both, by, "x", out="_rx").drop("n_ties")
         both = midrank(both, by, "y", out="_ry").select(*by, F.col("_rx").alias("x"), F.col("_ry").alias("y"))
-    return both.groupBy(*by).agg(F.corr("x", "y").alias("res")).withColumn("res", F.when(~F.isnan("res"), F.col("res")))
+    return both.groupBy(*by).agg(correlation("x", "y").alias("res"))
 
 
 def transition_frame(spark, hmm: Hmm) -> DataFrame:

@@ -145,6 +145,11 @@ def zero_aware_quantile(values: DataFrame, group: Sequence[str], n: Column, q: f
     return agg.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("quantile"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation as an aggregate; null where a side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 def order_statistic_quantile(df: DataFrame, value: str, q: float) -> Column:
     """The linear-interpolated quantile of a whole column, as a scalar subquery.
 

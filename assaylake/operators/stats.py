@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.functions.special import chi2_sf_1, normal_two_sided, t_two_sided
-from assaylake.operators.kernels import benjamini_hochberg, midrank
+from assaylake.operators.kernels import benjamini_hochberg, correlation, midrank
 
 
 def t_test(values: DataFrame, group: str, a, b, *, by: Sequence[str] = (), welch: bool = False) -> DataFrame:
@@ -240,13 +240,13 @@ def column_correlations(profiles: DataFrame, column: str, row: str, *, spearman:
     if spearman:
         rows = midrank(rows, ["_c"], "value").select("_row", "_c", F.col("rank").alias("value"))
     a, b = rows.select("_row", F.col("_c").alias("a"), F.col("value").alias("x")), rows.select("_row", F.col("_c").alias("b"), F.col("value").alias("y"))
-    return a.join(b, "_row").where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
+    return a.join(b, "_row").where("a < b").groupBy("a", "b").agg(correlation("x", "y").alias("r"))
 
 
 def depth_correlation(embedding: DataFrame, depth: DataFrame) -> DataFrame:
     """(component, r): Pearson correlation of every embedding component with the cells' totals."""
     rows = embedding.join(depth, "obs_id").select("total", F.posexplode("vec").alias("component", "x"))
-    return rows.groupBy("component").agg(F.corr("x", "total").alias("r"))
+    return rows.groupBy("component").agg(correlation("x", "total").alias("r"))
 
 
 def quadrants(df: DataFrame, x: str, y: str, *, at_x: float = 0.0, at_y: float = 0.0) -> DataFrame:

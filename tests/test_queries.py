@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from assaylake.queries import analysis, assay, fragments
+from assaylake.queries import analysis, assay, facts, fragments
 
-MODULES = (analysis, assay, fragments)
+MODULES = (analysis, assay, facts, fragments)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 
