@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Positions per tile. A tile is the unit of parallel work, so one entity that
 #: holds a third of all rows is spread over as many tasks as it has tiles.
@@ -14,19 +20,62 @@ def _as_time(c: Column) -> Column:
     return F.timestamp_micros(c)
 
 
+def _changes(batch: pa.RecordBatch, n_keys: int) -> np.ndarray:
+    """Where a row's keys differ from those of the row before; nulls are equal."""
+    out = np.ones(batch.num_rows, bool)
+    out[1:] = False
+    for c in batch.columns[:n_keys]:
+        a, b = c[1:], c[:-1]
+        differs = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null()))
+        out[1:] |= differs.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _merged_in_task(n_keys: int):
+    """Sorted rows (keys, tile, s, e) -> the continuous stretches of each batch with their numbers of rows."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = _changes(batch, n_keys + 1)
+            start, end = (batch.column(n_keys + k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            reach = np.empty_like(end)
+            at = np.flatnonzero(first)
+            low, group = end.min(), np.cumsum(first) - 1
+            span = int(end.max()) - int(low) + 1
+            if span * (len(at) + 1) < 1 << 62:  # one running maximum for all groups, each on a level of its own
+                reach = np.maximum.accumulate(end - low + group * span) - group * span + low
+            else:
+                for a, b in zip(at, [*at[1:], len(end)]):
+                    reach[a:b] = np.maximum.accumulate(end[a:b])
+            new = first.copy()
+            new[1:] |= start[1:] > reach[:-1]
+            heads = np.flatnonzero(new)
+            tails = np.append(heads[1:], len(end)) - 1
+            kept = batch.take(pa.array(heads))
+            yield pa.RecordBatch.from_arrays([*kept.columns[: n_keys + 2], pa.array(reach[tails]), pa.array(tails - heads + 1)], names=[*batch.schema.names, "n"])
+
+    return merge
+
+
 def _tile_stretches(df: DataFrame, keys: list[str], start: str, end: str, tile: int) -> DataFrame:
-    """(keys, _tile, s, e): the intervals of a tile merged by a native session window.
+    """(keys, _tile, s, e, n): the intervals of a tile merged by a native session window.
 
     An interval belongs to the tile of its start. The session's gap is the
     interval's own length, which makes overlapping and nested intervals one
-    session. Sessions are merged while rows stream by in sorted order.
+    session. Sessions are merged while rows stream by in sorted order. Each task
+    merges its own rows first, batch by batch, so that however many intervals of an
+    entity lie in a tile, a batch sends no more than its continuous stretches.
     """
-    rows = df.select(*keys, F.floor(F.col(start) / tile).alias("_tile"), F.col(start).alias("_s"), (F.col(end) - F.col(start)).alias("_n"))
-    gap = F.concat(F.col("_n").cast("string"), F.lit(" microseconds"))
+    rows = df.select(*keys, F.floor(F.col(start) / tile).alias("_tile"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"))
+    rows = rows.sortWithinPartitions(*keys, "_tile", "_s")
+    rows = rows.mapInArrow(_merged_in_task(len(keys)), StructType([*rows.schema.fields, StructField("n", LongType())]))
+    gap = F.concat((F.col("_e") - F.col("_s")).cast("string"), F.lit(" microseconds"))
     session = F.session_window(_as_time(F.col("_s")), gap).alias("_w")
     return (
         rows.groupBy(*keys, "_tile", session)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
         .select(*keys, "_tile", F.unix_micros("_w.start").alias("s"), F.unix_micros("_w.end").alias("e"), "n")
     )
 

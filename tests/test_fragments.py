@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,32 @@ def test_keyed(spark):
     assert keys_with_share(got.limit(0), df.limit(0).agg(F.count(F.lit(1))), 0.5).count() == 0
     with pytest.raises(ValueError):
         aggregate_by_key(df, ["k"], [F.collect_list("v")])
+
+
+def test_only_algebraic_aggregates(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "k string, v int")
+    out = {r.k: (r.n, r.s) for r in aggregate_by_key(df, ["k"], [F.count(F.lit(1)).alias("n"), F.sum(F.col("v") + 1).alias("s")]).collect()}
+    assert out == {"a": (2, 5), None: (1, 4)}
+    for bad in (F.collect_list("v"), F.count_distinct("v"), F.percentile("v", 0.5), F.median("v"), F.mode("v")):
+        with pytest.raises(ValueError):
+            aggregate_by_key(df, ["k"], [bad])
+
+
+def test_merging_within_a_task(spark):
+    """Batches of any content: null keys, repeats, intervals that touch, ends of any size."""
+    rng = np.random.default_rng(0)
+    rows = [("a" if i % 3 else None, "x" if i % 5 else None, int(s), int(s + rng.integers(1, 30))) for i, s in enumerate(rng.integers(0, 4000, 900))]
+    rows += [("b", "x", 10, 20), ("b", "x", 20, 30), ("b", "x", 20, 30), ("b", "x", 31, 1 << 50), ("c", "x", 1, 1 << 51), ("c", "x", 5, 9)]
+    df = spark.createDataFrame(rows, "k string, c string, start long, end long").repartition(3)
+    want = {}
+    for k, c in {r[:2] for r in rows}:
+        for s, e in sorted(r[2:] for r in rows if r[:2] == (k, c)):
+            parts = want.setdefault((k, c), [])
+            if parts and s <= parts[-1][1]:
+                parts[-1] = [parts[-1][0], max(e, parts[-1][1]), parts[-1][2] + 1]
+            else:
+                parts.append([s, e, 1])
+    got = {}
+    for r in merge_intervals(df, ["k", "c"], tile=512).orderBy("start").collect():
+        got.setdefault((r.k, r.c), []).append([r.start, r.end, r.n_intervals])
+    assert got == want
