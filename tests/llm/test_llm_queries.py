@@ -14,7 +14,7 @@ def test_query(spark, data, name):
     if name not in SQL:
         return
     con = duckdb.connect()
-    for t in ("fragments", "obs", "x_landscape", "regulatory_links", "documents"):
+    for t in ("fragments", "obs", "x_landscape", "regulatory_links", "documents", "mix_targets"):
         con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     cur = con.execute(SQL[name])
     names = [c[0] for c in cur.description]
