@@ -163,3 +163,19 @@ def order_statistic_quantile(df: DataFrame, value: str, q: float) -> Column:
     at = lambda i: F.min(F.when(F.col("_upto") > i, F.col("_v")))
     two = ordered.agg(at(F.floor(h)).alias("_lo"), at(F.ceil(h)).alias("_hi"))
     return two.select(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (h - F.floor(h))).scalar()
+
+
+def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, **quantiles: float) -> DataFrame:
+    """(by, one column for each of ``quantiles``), linear-interpolated; nulls don't count.
+
+    Distinct values are counted map-side and sorted, which spills; no task holds a
+    group's values in memory.
+    """
+    keys = list(by)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_t"))
+    order = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({"_upto": F.sum("_t").over(order), "_n": F.sum("_t").over(Window.partitionBy(*keys))})
+    h = {name: (F.col("_n") - 1) * F.lit(q) for name, q in quantiles.items()}
+    at = lambda i: F.min(F.when(F.col("_upto") > i, F.col("_v")))
+    two = ranked.groupBy(*keys).agg(*[c for name, x in h.items() for c in (at(F.floor(x)).alias(f"_l{name}"), at(F.ceil(x)).alias(f"_h{name}"), F.first(x - F.floor(x)).alias(f"_f{name}"))])
+    return two.select(*keys, *[(F.col(f"_l{n}") + (F.col(f"_h{n}") - F.col(f"_l{n}")) * F.col(f"_f{n}")).alias(n) for n in quantiles])

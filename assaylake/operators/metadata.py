@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions.cleaning import clean_chrom  # noqa: F401  (part of the public surface)
 from assaylake.model import Assay, Pct
-from assaylake.operators.kernels import transposed
+from assaylake.operators.kernels import order_statistic_quantile, transposed
 from assaylake.plans.scratch import Scratch
 
 Bound = float | int | Pct | None
@@ -36,7 +36,7 @@ def add_metadata(assay: Assay, counts: dict[str, str], *, var_locations: bool =
 
 def _limit(entities: DataFrame, column: str, bound: Bound) -> float | None:
     if isinstance(bound, Pct):
-        return entities.agg(F.percentile(column, bound.q / 100)).first()[0]
+        return entities.limit(1).select(order_statistic_quantile(entities, column, bound.q / 100)).first()[0]
     return bound
 
 
@@ -57,8 +57,9 @@ def filter_assay(
 
     Bounds given as percentiles are resolved once, on the unfiltered totals. Cells
     are judged first, then features over the cells that remain, and so on until a
-    round drops nothing (or once, with ``iterate=False``). The rows that remain
-    after each round are written to the shared folder, so plans don't grow.
+    round drops nothing (or once, with ``iterate=False``). What remains after each
+    round, the values included, is written to the shared folder: plans don't grow,
+    and later rounds read less.
     """
     none = [None] * len(layers)
     bounds = {}
@@ -68,20 +69,26 @@ def filter_assay(
             bounds[side, layer] = (_limit(t, "total", lo) if t is not None else lo, _limit(t, "total", hi) if t is not None else hi)
     scratch = Scratch(assay.obs.sparkSession, "filter")
     obs, var = assay.obs.select("obs_id"), assay.var.select("var_id")
+    left = {n: assay.layer(n).select("obs_id", "var_id", "value") for n in layers}
+    if iterate:
+        left = {n: scratch.save(c, f"layer{i}-0") for i, (n, c) in enumerate(left.items())}
     kept = None
-    for k in range(max_rounds):
+    for k in range(1, max_rounds + 1):
         for layer in layers:
-            coo = assay.layer(layer).join(var, "var_id", "left_semi").join(obs, "obs_id", "left_semi")
-            obs = totals(obs, coo, "obs_id").where(_within("total", *bounds["obs", layer])).select("obs_id")
+            obs = totals(obs, left[layer].join(obs, "obs_id", "left_semi"), "obs_id").where(_within("total", *bounds["obs", layer])).select("obs_id")
         obs = scratch.save(obs, f"obs{k}")
         for layer in layers:
-            coo = assay.layer(layer).join(obs, "obs_id", "left_semi").join(var, "var_id", "left_semi")
-            var = totals(var, coo, "var_id").where(_within("total", *bounds["var", layer])).select("var_id")
+            var = totals(var, left[layer].join(obs, "obs_id", "left_semi").join(var, "var_id", "left_semi"), "var_id").where(_within("total", *bounds["var", layer])).select("var_id")
         var = scratch.save(var, f"var{k}")
+        if not iterate:
+            break
         size = (obs.count(), var.count())
-        if not iterate or size == kept:
+        if size == kept:
             break
         kept = size
+        for i, layer in enumerate(layers):  # the next round reads what is left
+            left[layer] = scratch.save(left[layer].join(obs, "obs_id", "left_semi").join(var, "var_id", "left_semi"), f"layer{i}-{k}")
+            scratch.drop(f"layer{i}-{k - 1}")
     else:
         raise RuntimeError(f"the filter still drops rows after {max_rounds} rounds")
     if purge:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.operators.kernels import grouped_quantiles
+
 #: Blocks of keys on each side of a table of pairs.
 PAIR_BLOCKS = 8
 
@@ -26,7 +28,7 @@ def passing_fraction(df: DataFrame, value: str, low: float) -> DataFrame:
 
 def whiskers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """(by, q1, median, q3, low, high): quartiles, and the outermost values within 1.5 times their distance."""
-    q = df.groupBy(*by).agg(*[F.percentile(value, p).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    q = grouped_quantiles(df, by, value, q1=0.25, median=0.5, q3=0.75)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return df.join(q, list(by)).groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"))
