@@ -309,12 +309,12 @@ def grid_rank_correlation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{Q._PIX}, g as (select ix, iy, region, count(*) as c from i group by 1, 2, 3), r as (select *, row_number() over (partition by ix, iy order by c desc, region) as k, sum(c) over (partition by ix, iy) as n from g), w as (select ix, iy, region, n from r where k = 1),
-cx as (select ix from w group by 1 having sum(n) > 1), cy as (select iy from w group by 1 having sum(n) > 1), t as (select w.* from w where ix between (select min(ix) from cx) and (select max(ix) from cx) and iy between (select min(iy) from cy) and (select max(iy) from cy))
+cx as (select ix from w group by 1 having sum(n) > 0), cy as (select iy from w group by 1 having sum(n) > 0), t as (select w.* from w where ix between (select min(ix) from cx) and (select max(ix) from cx) and iy between (select min(iy) from cy) and (select max(iy) from cy))
 select cast(ix as int) as ix, region as mode from (select ix, region, row_number() over (partition by ix order by count(*) desc, region) as k from t group by 1, 2) where k = 1""")
 def color_summary(spark: SparkSession, d: str) -> DataFrame:
     """The most frequent region of each column of the trimmed grid."""
     regions = D.grid_categorical(Q._pixels(spark, d), supplier_parts(spark, d).obs, "region", 0)
-    return D.color_summary(regions, "region", 1, 1)
+    return D.color_summary(regions, "region", 0, 0)
 
 
 @query(f"select count(distinct p_brand) as n_features, count(distinct p_brand) * {Q._RES[0] * Q._RES[1] * 4} as n_pixels, 0.0 as lowest, 1.0 as highest from part")
