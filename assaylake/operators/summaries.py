@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.operators.kernels import zero_aware_quantile
+from assaylake.plans.joins import join_crowded
 
 TOTAL = 1e6
 
@@ -124,6 +125,13 @@ def classify_enrichment(coo: DataFrame, n_obs: Column, *, a: float, b: float, g:
     return coo.join(quantiles, "var_id", "left").where(hit).select("obs_id", "var_id")
 
 
+def _active_shares(active: DataFrame, memberships: DataFrame) -> DataFrame:
+    """(sample, community, var_id, share): the share of a community's cells in which a feature is active."""
+    sizes = memberships.groupBy("sample", "community").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    counts = active.select("obs_id", "var_id").join(memberships, "obs_id").groupBy("sample", "community", "var_id").agg(F.count(F.lit(1)).alias("_a"))
+    return counts.join(sizes, ["sample", "community"]).select("sample", "community", "var_id", (F.col("_a") / F.col("_n")).alias("share"))
+
+
 def neighbourhood_activity(active: DataFrame, memberships: DataFrame) -> DataFrame:
     """(obs_id, var_id, value): over samples, the sum of the active share of the cell's community.
 
@@ -137,9 +145,14 @@ def neighbourhood_activity(active: DataFrame, memberships: DataFrame) -> DataFra
 
 
 def denoise(active: DataFrame, communities: DataFrame, threshold: float) -> DataFrame:
-    """(obs_id, var_id): every cell of the communities whose active share exceeds the threshold."""
+    """(obs_id, var_id): every cell of the communities whose active share exceeds the threshold.
+
+    The shares are judged before any cell is joined, so only what is in the result
+    is ever written out cell by cell. A cell that is listed twice is twice in it.
+    """
     one = communities.select(F.lit(0).alias("sample"), "obs_id", "community")
-    return neighbourhood_activity(active, one).where(F.col("value") > threshold).select("obs_id", "var_id")
+    kept = _active_shares(active, one).where(F.col("share") > threshold).select("community", "var_id")
+    return join_crowded(communities.select("community", "obs_id"), kept, ["community"]).select("obs_id", "var_id")
 
 
 def one_hot(memberships: DataFrame, vec: str = "codes") -> DataFrame:
