@@ -47,6 +47,32 @@ def test_denoise_of_odd_rows(spark):
     assert not S.denoise(active, communities, 1.0).count()
 
 
+def test_activities_of_cells_in_the_same_communities_are_summed_once(spark, shuffled):
+    communities, active = one_each(spark, 600)
+    memberships = communities.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("sample"), "obs_id", "community")
+    out = S.neighbourhood_activity(active, memberships).collect()
+    assert len({(r.obs_id, r.var_id) for r in out}) == len(out) == 600 * 601
+    assert {(r.var_id == "all", round(r.value, 6)) for r in out} == {(True, 2.0), (False, 0.003333)}
+    assert shuffled() < 600 * 600 / 10
+
+
+def test_activities_of_odd_rows(spark):
+    rows = [(0, "a", "x"), (0, "b", "x"), (0, "c", "y"), (1, "a", "y"), (1, "b", "z"), (1, "b", "z"), (0, "d", None), (1, "d", "z"), (0, None, "y"), (0, None, "x"), (None, "a", "x"), (2, "e", "w")]
+    live = [("a", "p"), ("b", "p"), ("c", "p"), ("c", "q"), ("b", None), ("d", "p"), (None, "p"), ("f", "p")]
+    memberships = spark.createDataFrame(rows, "sample int, obs_id string, community string")
+    active = spark.createDataFrame(live, "obs_id string, var_id string")
+    want = {}
+    for s, o, c in rows:
+        if s is not None and c is not None:
+            members = [x for t, x, d in rows if (t, d) == (s, c)]
+            for x in members:
+                for y, v in live:
+                    if x is not None and x == y:
+                        want[o, v] = want.get((o, v), 0) + 1 / len(members)
+    got = [((r.obs_id, r.var_id), r.value) for r in S.neighbourhood_activity(active, memberships).collect()]
+    assert len(got) == len(want) and dict(got) == pytest.approx(want)
+
+
 @pytest.mark.parametrize("broadcast", [J.BROADCAST_KEYS, 0])
 def test_crowded_join_is_the_plain_join(spark, monkeypatch, broadcast):
     monkeypatch.setattr(J, "BROADCAST_KEYS", broadcast)
